@@ -79,7 +79,7 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
 class Words:
     """Words of a string column: start, end (bytes), doc (row) and hash of each."""
 
-    __slots__ = ("raw", "ends", "start", "end", "doc", "hash", "count", "rows")
+    __slots__ = ("raw", "ends", "start", "end", "doc", "hash", "count", "rows", "sums")
 
     def __init__(self, column: pa.Array, lower: bool = True):
         if lower:
@@ -96,21 +96,33 @@ class Words:
         last = ends[1:][ends[:-1] < ends[1:]] - 1
         stops[last] = inside[last]
         self.start, self.end = np.flatnonzero(starts), np.flatnonzero(stops) + 1
-        power, inverse = _tables(len(raw) + 1)
-        sums = raw.astype(U64)
+        power, _ = _tables(len(raw) + 1)
+        self.sums = np.zeros(len(raw) + 1, U64)
+        sums = self.sums[1:]
+        sums += raw
         sums += U64(1)
         sums *= power[: len(raw)]
         np.cumsum(sums, out=sums)
-        h = sums[self.end - 1]
-        later = self.start > 0
-        h[later] -= sums[self.start[later] - 1]
-        h *= inverse[self.start]
-        self.hash = mix(h)
+        self.hash = mix(self.span(self.start, self.end))
         cut = np.searchsorted(self.start, ends)
         self.count = np.diff(cut)
         self.doc = np.repeat(np.arange(self.rows), self.count)
 
 
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Polynomial hash of the bytes of each span, wherever it lies."""
+        h = self.sums[end]
+        h -= self.sums[start]
+        h *= _inverses[start]
+        return h
+
+    def prefixes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(doc, hash) of the first `length` bytes of each word longer than that."""
+        long = np.flatnonzero(self.end - self.start > length)
+        start = self.start[long]
+        return self.doc[long], mix(self.span(start, start + length) + U64(mix_int(length)))
+
+
 _STEP = [U64(mix_int(k + 101) | 1) for k in range(64)]
 
 
