@@ -1,11 +1,25 @@
-"""The corpus pipeline: documents in, cleaned and tokenised documents out."""
+"""The corpus pipeline: documents in, cleaned and tokenised documents out.
+
+STAGES names the steps in order; each takes (spark, docs, sf_dir) and returns the
+documents that stay, with their columns (the last adds the token columns).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import minhash_dedup
-from newsloom.session import store
+from newsloom.llm import decontaminate, line_dedup, minhash_dedup, sentencepiece_fst, toxicity
+from newsloom.session import drop_stored, store
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels, calls toxic go."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand in an earlier document go, and documents of nothing else."""
+    return line_dedup.without_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +27,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash_dedup.drop_near_duplicates(docs)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """token_ids, n_tokens and lossless are added."""
+    return sentencepiece_fst.add_tokens(docs)
+
+
 STAGES = [
-    ("near_dedup", near_dedup),
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("minhash_near_dedup", near_dedup),
+    ("decontamination", decontaminated),
+    ("sentencepiece", tokenized),
 ]
 
 #: Several stages have no SQL equivalent; tests hold run() against brute-force versions.
@@ -23,7 +51,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over documents, each written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs, _ = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            drop_stored(spark, before)
+        before = path
     return docs

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from newsloom.llm import minhash_dedup
+from newsloom.llm import decontaminate, line_dedup, minhash_dedup, sentencepiece_fst, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash_dedup.query,
+    "op2_sentencepiece": sentencepiece_fst.query,
+    "op3_decontamination": decontaminate.query,
+    "op6_toxicity": toxicity.query,
+    "op7_line_dedup": line_dedup.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_decontamination": decontaminate.SQL,
+    "op7_line_dedup": line_dedup.SQL,
+}

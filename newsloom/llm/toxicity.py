@@ -68,7 +68,7 @@ def features(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield words.prefixes(length)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 1.5, penalty: float | None = None, min_docs: int = MIN_DOCS) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 1.5, penalty: float | None = None, min_docs: int = MIN_DOCS) -> Model:
     """Train on documents given as arrays of distinct feature hashes. Without positives nothing is toxic.
 
     Proximal gradient steps: a feature gets a weight only if its gradient exceeds `penalty`,
