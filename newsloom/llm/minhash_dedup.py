@@ -170,6 +170,12 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([overlap(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _crowded(rows: DataFrame) -> DataFrame:
+    """Rows (key, band, id) of buckets with two documents or more, and the least of each as lead."""
+    bucket = Window.partitionBy("key")
+    return rows.withColumn("lead", F.min("id").over(bucket)).withColumn("last", F.max("id").over(bucket)).where("lead < last").select("key", "band", "id", "lead")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, keeper_id, exact) for each document that repeats another.
 
@@ -178,10 +184,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     relation over the pairs that share a band, and keeper_id is a group's least id;
     the keeper itself has no row. `exact`: its multiset equals the keeper's.
 
-    Pairs are verified against the least document of every bucket they share; members
-    of a bucket that don't match it are compared among themselves with their own least
-    document, and so on until none is left, so a bucket of n copies costs n comparisons
-    and none is skipped for its size. Texts without a word (null, empty, punctuation)
+    Pairs are verified against the least document of every bucket they share, so a
+    bucket of n copies costs n comparisons. Members that don't match it are put into
+    finer buckets, of those that share a further band, and so on until none is left:
+    documents alike in some part only (a passage that many share) come apart at once,
+    while a pair over the threshold shares further bands. Texts without a word (null, empty, punctuation)
     and rows without an id are in no group. A text shorter than a shingle is one
     shingle. Repeated rows of an id with one text are one document; no rows give no rows.
     """
@@ -192,36 +199,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = Window.partitionBy("fp1", "fp2")
     copies, p_copies = store(signed.select("id", "fp1", "fp2").withColumn("rep", F.min("id").over(least)).where("id <> rep").select("id", "rep").distinct(), "copies")
     heads = signed.join(copies.select("id").distinct(), "id", "left_anti")
-    buckets = heads.select("id", F.explode("keys").alias("key"))
-    least = Window.partitionBy("key")
-    shared, p_shared = store(buckets.withColumn("lead", F.min("id").over(least)).withColumn("last", F.max("id").over(least)).where("lead < last").select("key", "id"), "buckets")
-    drop_stored(spark, p_signed)
-    ids, p_ids = store(shared.select("id").distinct(), "ids")
+    buckets = heads.select("id", F.posexplode("keys").alias("band", "key"))
+    open_rows, p_open = store(_crowded(buckets), "buckets")
+    ids, p_ids = store(open_rows.select("id").distinct(), "ids")
     many = ids.count()
     chosen = base.join(F.broadcast(ids) if many <= BROADCAST_IDS else ids, "id")
     bags, p_bags = store(chosen.mapInArrow(_bags(shingle), "id long, bag binary"), "bags")
     drop_stored(spark, p_ids)
     edges = copies.select(F.col("id").alias("a"), F.col("rep").alias("b"))
     spent = [p_bags]
-    open_rows, p_open = shared, p_shared
+    left, right = bags.select("id", F.col("bag").alias("bag_a")), bags.select(F.col("id").alias("lead"), F.col("bag").alias("bag_b"))
     while many:
-        led = open_rows.withColumn("lead", F.min("id").over(least)).where("id <> lead")
+        led = open_rows.where("id <> lead")
         pairs = led.select("id", "lead").distinct()
-        left, right = bags.select("id", F.col("bag").alias("bag_a")), bags.select(F.col("id").alias("lead"), F.col("bag").alias("bag_b"))
         judged, p_judged = store(pairs.join(left, "id").join(right, "lead").select("id", "lead", _overlap("bag_a", "bag_b").alias("overlap")), "judged")
         edges = edges.union(judged.where(F.col("overlap") >= threshold).select("id", "lead"))
-        failed = led.join(judged.where(F.col("overlap") < threshold).select("id", "lead").distinct(), ["id", "lead"]).select("key", "id")
-        rest, p_rest = store(failed.withColumn("n", F.max("id").over(least)).withColumn("l", F.min("id").over(least)).where("l < n").select("key", "id"), "buckets")
+        failed = led.join(judged.where(F.col("overlap") < threshold).select("id", "lead").distinct(), ["id", "lead"])
+        rest = _crowded(failed.select("key", "band", "id")).select("id", "band", "key")
+        further = F.posexplode("keys").alias("next", "other")
+        finer = rest.join(signed, "id").select("id", "band", "key", further).where("next > band").select("id", F.col("next").alias("band"), F.xxhash64("key", "other").alias("key"))
+        rows_left, p_rest = store(_crowded(finer), "buckets")
         drop_stored(spark, p_open)
         spent.append(p_judged)
-        open_rows, p_open = rest, p_rest
-        many = rest.count()
+        open_rows, p_open = rows_left, p_rest
+        many = rows_left.count()
+    drop_stored(spark, p_signed)
     groups = components(edges)
-    found, _ = store(groups.where("node <> root").select("node", "root"), "groups")
+    found, p_found = store(groups.where("node <> root").select("node", "root"), "groups")
     twins = copies.select(F.col("id").alias("node"), F.col("rep").alias("root"), F.lit(True).alias("exact")).distinct()
     out = found.join(twins, ["node", "root"], "left").select(F.col("node").alias(id_col), F.col("root").alias("keeper_id"), F.coalesce("exact", F.lit(False)).alias("exact"))
     result, _ = store(out, "near")
-    drop_stored(spark, *spent, p_open, p_copies)
+    drop_stored(spark, *spent, p_open, p_copies, p_found)
     return result
 
 
