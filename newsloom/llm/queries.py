@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import decontaminate, line_dedup, minhash_dedup, ppm_score, sentencepiece_fst, token_codec, toxicity, url_filter
+from newsloom.llm import decontaminate, line_dedup, minhash_dedup, pii_bootstrap, ppm_score, quality_mcd, sentencepiece_fst, token_codec, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash_dedup.query,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_toxicity": toxicity.query,
     "op7_line_dedup": line_dedup.query,
     "op8_ppm_score": ppm_score.query,
+    "op9_pii_bootstrap": pii_bootstrap.query,
+    "op10_quality_mcd": quality_mcd.query,
 }
 
 ORACLES = {
