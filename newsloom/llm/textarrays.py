@@ -132,7 +132,7 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return doc, h
     total = np.zeros(n, U64)
-    for k in range(size):
+    for k in range(min(size, n)):
         part = h[k:] * _STEP[k]
         same = doc[k:] == doc[: n - k]
         total[: n - k] += np.where(same, part, U64(0))
