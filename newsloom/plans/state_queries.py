@@ -244,6 +244,11 @@ def cooldown_escalations(spark, sf_dir):
     return cooldown.escalations(_observations(Tables(spark, sf_dir))).select("scope", "at", "repeated")
 
 
-@register("cooldown_fold")
+@register("cooldown_fold", """WITH RECURSIVE obs AS (SELECT event_type AS scope, epoch(date_trunc('second', ts))::BIGINT AS sec, (CASE WHEN event_id % 11 = 0 THEN 120 WHEN event_id % 13 = 0 THEN 2400 END)::BIGINT AS r FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY sec, r NULLS FIRST) AS k, count(*) OVER (PARTITION BY scope) AS n FROM obs),
+f AS (SELECT scope, 0::BIGINT AS k, 0::BIGINT AS resume, 0 AS c, NULL::BIGINT AS last, '' AS kind FROM (SELECT DISTINCT scope FROM obs)
+UNION ALL SELECT scope, k, greatest(resume, sec + CASE WHEN r IS NOT NULL THEN r WHEN c >= 2 THEN 3600 ELSE 300 END), c, CASE WHEN r IS NULL THEN sec END, CASE WHEN r >= 1800 THEN 'provider_long' WHEN r IS NOT NULL THEN 'provider_short' WHEN c >= 2 THEN 'ambiguous_long' ELSE 'ambiguous_short' END
+FROM (SELECT f.scope, o.k, f.resume, o.sec, o.r, CASE WHEN o.r IS NOT NULL THEN 0 WHEN f.last IS NOT NULL AND o.sec - f.last <= 900 THEN f.c + 1 ELSE 1 END AS c FROM f JOIN o ON o.scope = f.scope AND o.k = f.k + 1))
+SELECT f.scope, f.resume, f.c AS ambiguous_count, f.kind AS cooldown_kind FROM f JOIN (SELECT DISTINCT scope, n FROM o) m ON m.scope = f.scope AND m.n = f.k""")
 def cooldown_fold(spark, sf_dir):
     return cooldown.fold(_observations(Tables(spark, sf_dir)))
