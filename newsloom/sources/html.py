@@ -17,6 +17,7 @@ LEAST_BODY = 120
 SCHEMA = "page_id long, title string, language string, canonical string, published string, body string, paragraphs int, image string"
 _DATE_METAS = ("article:published_time", "og:published_time", "publishdate", "date", "dc.date", "datepublished")
 _SKIP = {"script", "style", "noscript", "template"}
+_BLOCKS = {"p", "h1", "h2", "h3", "li", "div", "td", "blockquote"}
 _VOID = {"br", "img", "meta", "link", "hr", "input", "source", "wbr"}
 
 
@@ -63,6 +64,8 @@ class Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "p":
             self._p = None
+        if tag in _BLOCKS and "article" in self._open:
+            self.in_article.append("\n")
         if tag in self._open:
             while self._open and self._open.pop() != tag:
                 pass
@@ -120,7 +123,7 @@ def extract(html: str | None, url: str = "") -> tuple:
     texts = [t for t in (clean("".join(p)) for p in page.paragraphs) if t]
     body = "\n".join(texts)
     if len(body) < LEAST_BODY:
-        body = clean(" ".join(page.in_article)) or body
+        body = clean("".join(page.in_article)) or body
     title = clean(page.metas.get("og:title") or page.h1 or page.title) or None
     language = (page.lang or page.metas.get("og:locale") or "").lower().replace("_", "-").split("-")[0] or None
     canonical = urls.normalize(page.canonical, url) if page.canonical else None
