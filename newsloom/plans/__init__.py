@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers them all."""
 
-from newsloom.plans import domain_queries, read_queries, report_queries, state_queries  # noqa: F401
+from newsloom.plans import domain_queries, maintenance_queries, read_queries, report_queries, state_queries  # noqa: F401

@@ -10,7 +10,7 @@ from newsloom.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 TYPES = {"tinyint": "tinyint", "smallint": "smallint", "integer": "int", "varchar": "string", "timestamp": "timestamp_ntz"}
-ROWS_ONLY = {"html_extract", "relevance_scores"}
+ROWS_ONLY = {"html_extract", "relevance_scores", "source_validation"}
 
 
 @pytest.fixture(scope="module")
