@@ -27,7 +27,7 @@ from newsloom.session import ship
 SHINGLE, THRESHOLD, SHORT = 5, 0.5, 12
 #: Items whose index is sent to the workers at once (by the characters of their texts);
 #: a larger benchmark is searched in several passes over the documents.
-PASS_CHARS = 32_000_000
+PASS_CHARS = 4_000_000
 _FILTER_BITS = 20
 
 
@@ -43,9 +43,12 @@ class Index:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(every & U64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
         self.short = self._sorted(every[short], owner[short])
+        self.all = self._sorted(every[~short], owner[~short])
         self.by_part = []
-        for part in range(40):
-            bins = every >> U64(48 - min(part, 40))
+        longest = max((len(v) for v in self.values), default=1)
+        # with 16 bins a shingle nearly every shingle is a minimum: finer partitions all use the last table
+        for part in range(min(40, int(longest).bit_length() + 5)):
+            bins = every >> U64(48 - part)
             order = np.lexsort((every, bins, owner))
             o, b = owner[order], bins[order]
             least = order[np.r_[True, (o[1:] != o[:-1]) | (b[1:] != b[:-1])]]
@@ -78,7 +81,7 @@ class Index:
         before = np.maximum(maybe - 1, 0)
         least = (maybe == edge[doc[maybe]]) | (value[before] >> (U64(48) - parts.astype(U64)) != bins)
         for p in np.unique(parts[least]):
-            match(maybe[least & (parts == p)], self.by_part[p])
+            match(maybe[least & (parts == p)], self.by_part[p] if p < len(self.by_part) else self.all)
         found = []
         for row, item in sorted(pairs):
             own, wanted = value[edge[row] : edge[row + 1]], self.values[item]

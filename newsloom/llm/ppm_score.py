@@ -28,7 +28,7 @@ from newsloom.session import drop_stored, ship, store
 ORDER = 4
 #: Most (context, byte) nodes of the longest contexts that go to the workers; with more,
 #: the rarest are left to the shorter contexts, whose counts still include them.
-MAX_NODES = 4_000_000
+MAX_NODES = 2_000_000
 
 
 def grams(raw: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
