@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -59,14 +59,21 @@ def drop_stored(spark: SparkSession, *paths: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers (once an application)."""
+    """Make this package importable in the Python workers (once an application), from the shared folder."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
-    target = os.path.join(tempfile.mkdtemp(prefix="newsloom-code-"), "newsloom_code.zip")
-    with zipfile.ZipFile(target, "w") as archive:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
         for file in sorted(root.rglob("*.py")):
             archive.write(file, str(Path(root.name) / file.relative_to(root)))
-    spark.sparkContext.addPyFile(target)
+    path = f"{scratch_dir(spark)}/newsloom/code-{uuid.uuid4().hex}.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    try:
+        stream.write(bytearray(packed.getvalue()))
+    finally:
+        stream.close()
+    spark.sparkContext.addPyFile(path)
     _shipped.add(app)
