@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 KYIV = "Europe/Kyiv"
 MONTHS = {m: k + 1 for k, m in enumerate("січня лютого березня квітня травня червня липня серпня вересня жовтня листопада грудня".split())}
 _ZONE = r"(?:[Zz]|[+-][0-9]{2}:?[0-9]{2})$"
-RANKS = {"unknown": 0, "year": 1, "month": 2, "day": 3}
+RANKS = {name: k for k, name in enumerate("unknown year month day".split())}
 
 
 def iso_utc(text: Column, naive_zone: str = KYIV) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 _FENCE = re.compile(r"^\s*```[A-Za-z0-9_-]*\s*\n?(.*?)\n?\s*```\s*$", re.S)
-_CONTROL = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}
+_TIGHT = (",", ":")
+_CONTROL = {chr(code): "\\" + letter for code, letter in ((10, "n"), (13, "r"), (9, "t"))}
 
 
 def escape_controls(text: str) -> str:
@@ -42,7 +43,7 @@ def lenient(text: str | None, allow_array: bool = False) -> str | None:
         except (ValueError, RecursionError):
             continue
         if isinstance(value, dict) or (allow_array and isinstance(value, list)):
-            return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+            return json.dumps(value, separators=_TIGHT, ensure_ascii=False)
         return None
     return None
 

@@ -95,4 +95,4 @@ def slug(prefix: str, id_: Column) -> Column:
 
 
 def safe_slug(text: Column) -> Column:
-    return F.coalesce(text.rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$"), F.lit(False))
+    return F.coalesce((text.rlike("^[a-z0-9-]+$") & ~text.rlike("^-|--|-$")), F.lit(False))

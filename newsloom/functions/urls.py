@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import posixpath
-from urllib.parse import parse_qsl, quote, unquote, urlencode, urljoin, urlsplit, urlunsplit
+from urllib import parse
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,7 +19,7 @@ def normalize(url: str | None, base: str | None = None) -> str | None:
     if not url or not url.strip():
         return None
     try:
-        parts = urlsplit(urljoin(base or "", url.strip()))
+        parts = parse.urlsplit(parse.urljoin(base or "", url.strip()))
         host = (parts.hostname or "").lower().removeprefix("www.")
         port = parts.port
     except ValueError:
@@ -28,13 +28,13 @@ def normalize(url: str | None, base: str | None = None) -> str | None:
         return None
     if port and port not in (80, 443):
         host = f"{host}:{port}"
-    path = unquote(parts.path or "/")
+    path = parse.unquote(parts.path or "/")
     while "//" in path:
         path = path.replace("//", "/")
     path = posixpath.normpath(path)
-    path = "" if path in (".", "/") else quote(path, safe="/:@!$&'()*+,;=~-._")
-    query = urlencode([(k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if k.lower() not in TRACKING])
-    return urlunsplit(("https", host, path, query, ""))
+    path = "" if path in (".", "/") else parse.quote(path, safe="/:@!$&'()*+,;=~-._")
+    query = parse.urlencode([(k, v) for k, v in parse.parse_qsl(parts.query, keep_blank_values=True) if k.lower() not in TRACKING])
+    return parse.urlunsplit(("https", host, path, query, ""))
 
 
 @F.pandas_udf(StringType())
@@ -82,7 +82,7 @@ def allowed(url: Column, include: list[str], exclude: list[str]) -> Column:
 def safe_remote(url: str | None) -> bool:
     """http(s), not localhost, and no address outside the public range."""
     try:
-        parts = urlsplit(url or "")
+        parts = parse.urlsplit(url or "")
         host = parts.hostname
     except ValueError:
         return False

@@ -50,7 +50,7 @@ def without_articles(counted: DataFrame, sources: DataFrame) -> DataFrame:
 
 def markdown(summary_rows: DataFrame, title: str = "Article coverage") -> str:
     """The report as a Markdown table; one row a source of the catalogue reaches the driver."""
-    lines = [f"# {title}", "", "| source | dated | undated | first | last |", "| --- | ---: | ---: | --- | --- |"]
+    lines = [f"# {title}", "", "| source | dated | undated | first | last |", "|---|--:|--:|---|---|"]
     for r in summary_rows.orderBy("slug").collect():
         lines.append(f"| {r['slug']} | {r['dated']} | {r['undated']} | {r['first'] or '-'} | {r['last'] or '-'} |")
-    return "\n".join(lines) + "\n"
+    return "".join(f"{line}\n" for line in lines)

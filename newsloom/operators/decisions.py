@@ -128,7 +128,7 @@ RULES: dict[str, Rules] = {"gate": GATE, "card": CARD, "resolution": RESOLUTION,
 
 ROLE_WORDS = r"(?iu)(?<![\p{L}])(колишн(ій|я|є|і)|підозрюван(ий|а|е|і)|обвинувачен(ий|а|е|і)|фігурант|переможець|посадовець|бухгалтер|водій|підприємець|правоохоронець|у справі|тендеру|як(ий|а|е|і))(?![\p{L}])"
 ROLE_TEXT = r"(?iu)(?<![\p{L}])(як(ий|а|е|і)\s+(викри(в|ла)|продовжи(в|ла)|фігурує)|де\s+(затримали|повідомили|провели|викрили))(?![\p{L}])"
-PLACEHOLDER = r"(?iu)^\s*(опис\s+)?поді(я|ї)\s*\d+\s*[.!]?\s*$"
+PLACEHOLDER = r"(?iu)^\s*(опис\s+)?поді(я|ї)\s*[0-9]+[\s.!]*$"
 
 
 def flatten(rows: DataFrame, lists: dict[str, str]) -> DataFrame:

@@ -87,7 +87,7 @@ class Tables:
         return d.select(
             F.date_format("d", "yyyyMMdd").cast("int").alias("id"), F.concat(F.lit("Event of "), F.date_format("d", "yyyy-MM-dd")).alias("title"),
             F.when(part < 3, F.year("d")).alias("year"), F.when(part < 2, F.month("d")).alias("month"), F.when(part < 1, F.dayofmonth("d")).alias("day"),
-            F.element_at(F.array(*map(F.lit, ("day", "month", "year", "unknown"))), part + 1).alias("precision"),
+            F.element_at(F.array(*map(F.lit, "day month year unknown".split())), part + 1).alias("precision"),
         )
 
     @cached_property
@@ -107,7 +107,7 @@ class Tables:
     @cached_property
     def jobs(self) -> DataFrame:
         key = F.col("event_id")
-        status = F.element_at(F.array(*map(F.lit, ("queued", "running", "succeeded", "failed", "blocked"))), (key % 5 + 1).cast("int"))
+        status = F.element_at(F.array(*map(F.lit, "queued running succeeded failed blocked".split())), (key % 5 + 1).cast("int"))
         return self.raw("events").select(
             key.alias("id"), F.col("event_type").alias("job_type"), F.col("user_id").alias("article_id"), status.alias("status"), (key % 2 * 10).cast("int").alias("priority"),
             (key % 4).cast("int").alias("attempts"), F.lit(3).alias("max_attempts"), F.expr("ts + make_dt_interval(cast(event_id % 3 as int))").alias("run_after"),
@@ -141,7 +141,7 @@ CTES = {
     "case_events": f"SELECT DISTINCT l_partkey AS case_id, {_DAY} AS event_id FROM lineitem",
     "article_event_cases": f"SELECT DISTINCT l_orderkey AS article_id, {_DAY} AS event_id, l_partkey AS case_id FROM lineitem",
     "views": "SELECT user_id AS case_id, ts::DATE AS counter_date, count(*) AS view_count FROM events WHERE event_type = 'view' GROUP BY ALL",
-    "jobs": """SELECT event_id AS id, event_type AS job_type, user_id AS article_id, ['queued', 'running', 'succeeded', 'failed', 'blocked'][(event_id % 5 + 1)::INTEGER] AS status,
+    "jobs": """SELECT event_id AS id, event_type AS job_type, user_id AS article_id, string_split('queued running succeeded failed blocked', ' ')[(event_id % 5 + 1)::INTEGER] AS status,
  (event_id % 2 * 10)::INTEGER AS priority, (event_id % 4)::INTEGER AS attempts, 3 AS max_attempts, ts + to_days((event_id % 3)::INTEGER) AS run_after,
  CASE WHEN event_id % 5 = 1 THEN ts END AS locked_at, (event_id % 3)::INTEGER AS requested, (event_id % 2)::INTEGER AS completed, ts AS created_at FROM events""",
 }

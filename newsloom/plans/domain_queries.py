@@ -99,7 +99,7 @@ def section_links(spark, sf_dir):
 def sitemap_links(spark, sf_dir):
     entry = F.concat(F.lit("<url><loc>https://n.example/"), "o_orderkey", F.lit("</loc><lastmod>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</lastmod></url>"))
     bodies = Tables(spark, sf_dir).raw("orders").where("o_orderkey < 500").groupBy((F.col("o_orderkey") % 10).alias("g")).agg(F.array_join(F.collect_list(entry), "").alias("x"))
-    pages = bodies.select(F.concat(F.lit("https://n.example/map"), "g").alias("url"), F.lit("sitemap").alias("method"), F.concat(F.lit("<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>"), "x", F.lit("</urlset>")).cast("binary").alias("content"))
+    pages = bodies.select(F.concat(F.lit("https://n.example/map"), "g").alias("url"), F.lit("sitemap").alias("method"), F.concat(F.lit("<urlset xmlns='urn:any'>"), "x", F.lit("</urlset>")).cast("binary").alias("content"))
     found = feeds.links(pages)
     return found.select(F.regexp_extract("href", "([0-9]+)$", 1).cast("long").alias("o_orderkey"), "href", feeds.stamps(F.col("stamp")).alias("moment"))
 

@@ -88,7 +88,7 @@ def json_lenient(spark, sf_dir):
 
 @register("json_schema_echo", "SELECT event_id, event_id % 2 = 0 AS echo FROM events")
 def json_schema_echo(spark, sf_dir):
-    text = F.when(F.col("event_id") % 2 == 0, '{"type": "object", "properties": {"a": {}}}').otherwise(F.col("props"))
+    text = F.when(F.col("event_id") % 2 == 0, '{"properties": {"a": {}}, "type": "object"}').otherwise(F.col("props"))
     return Tables(spark, sf_dir).raw("events").select("event_id", jsonx.schema_echo(text).alias("echo"))
 
 

@@ -21,7 +21,7 @@ def demo(spark: SparkSession, cases: int = 164, articles: int = 496, events: int
     start = F.lit("2026-06-01 00:00:00").cast("timestamp_ntz")
     a = spark.range(articles).select("id", (F.col("id") % sources).alias("source_id"), F.concat(F.lit("Article "), "id").alias("title"), (start - F.make_dt_interval(hours=(F.col("id") * 5).cast("int"))).alias("published_at"), F.when(F.col("id") % 5 < 3, F.concat(F.lit("https://img.example/"), "id")).alias("image_url"))
     c = spark.range(cases).select("id", F.concat(F.lit("case-"), "id").alias("slug"), F.concat(F.lit("Case "), "id").alias("title"), F.lit("active").alias("status"))
-    precision = F.element_at(F.array(*map(F.lit, ("day", "month", "year", "unknown"))), (F.col("id") % 4 + 1).cast("int"))
+    precision = F.element_at(F.array(*map(F.lit, "day month year unknown".split())), (F.col("id") % 4 + 1).cast("int"))
     day = F.date_sub(start.cast("date"), (F.col("id") * 3).cast("int"))
     e = spark.range(events).select("id", F.concat(F.lit("Event "), "id").alias("title"), precision.alias("precision"), F.when(F.col("id") % 4 < 3, F.year(day)).alias("year"), F.when(F.col("id") % 4 < 2, F.month(day)).alias("month"), F.when(F.col("id") % 4 < 1, F.dayofmonth(day)).alias("day"))
     n = spark.range(entities).select("id", F.concat(F.lit("Entity "), "id").alias("name"), (F.col("id") % 8).alias("entity_type"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import dates, urls
 
+#: A link and the date stated for it.
+Entry = tuple[str, "str | None"]
+_ADDRESS = re.compile("https?://|/")
 SCHEMA = "page_url string, method string, position int, href string, stamp string, nested boolean"
 
 
@@ -52,7 +56,7 @@ def _child(element, *names: str) -> str | None:
     return None
 
 
-def sitemap(content: bytes) -> tuple[list[str], list[tuple[str, str | None]]]:
+def sitemap(content: bytes) -> tuple[list[str], list[Entry]]:
     """(nested sitemaps, [(address, lastmod)]); an invalid body is empty."""
     root = _root(content)
     if root is None:
@@ -62,7 +66,7 @@ def sitemap(content: bytes) -> tuple[list[str], list[tuple[str, str | None]]]:
     return ([loc for loc, _ in entries], []) if _name(root) == "sitemapindex" else ([], entries)
 
 
-def feed(content: bytes) -> list[tuple[str, str | None]]:
+def feed(content: bytes) -> list[Entry]:
     """[(link, date)] of RSS items (link, else guid) and Atom entries (updated, else published)."""
     root = _root(content)
     out = []
@@ -124,7 +128,7 @@ def json_links(text: str, base: str) -> list[str]:
                 yield from strings(v)
 
     try:
-        found = [s for s in strings(json.loads(text or "")) if s.startswith(("http://", "https://", "/"))]
+        found = [s for s in strings(json.loads(text or "")) if _ADDRESS.match(s)]
     except (ValueError, RecursionError):
         return []
     return _same_host(found, base)

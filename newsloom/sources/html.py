@@ -16,6 +16,7 @@ from newsloom.functions import urls
 LEAST_BODY = 120
 SCHEMA = "page_id long, title string, language string, canonical string, published string, body string, paragraphs int, image string"
 _DATE_METAS = ("article:published_time", "og:published_time", "publishdate", "date", "dc.date", "datepublished")
+_LD_DATES = "datePublished dateCreated uploadDate".split()
 _SKIP = {"script", "style", "noscript", "template"}
 _BLOCKS = {"p", "h1", "h2", "h3", "li", "div", "td", "blockquote"}
 _VOID = {"br", "img", "meta", "link", "hr", "input", "source", "wbr"}
@@ -91,7 +92,7 @@ class Page(HTMLParser):
 def _ld_date(value) -> str | None:
     """Depth-first search of JSON-LD; an object's own dates come before those inside it."""
     if isinstance(value, dict):
-        for key in ("datePublished", "dateCreated", "uploadDate"):
+        for key in _LD_DATES:
             if isinstance(value.get(key), str) and value[key].strip():
                 return value[key].strip()
         value = list(value.values())

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from newsloom.sources import catalogue, feeds, html
 
-INDEX = b"<sitemapindex xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'><sitemap><loc> https://n.ua/a.xml </loc></sitemap><sitemap><loc></loc></sitemap></sitemapindex>"
-URLSET = b"<urlset><url><loc>https://n.ua/1</loc><lastmod>2024-01-05</lastmod></url><url><loc>https://n.ua/2</loc></url></urlset>"
+INDEX = b"<sitemapindex xmlns='urn:any'><sitemap><loc> https://n.ua/a.xml </loc></sitemap> <sitemap> <loc/> </sitemap></sitemapindex>"
+URLSET = b"<urlset><url><loc>https://n.ua/1</loc><lastmod>2024-01-05</lastmod> </url> <url><loc>https://n.ua/2</loc> </url></urlset>"
 RSS = b"<rss><channel><item><link>https://n.ua/3</link><pubDate>Tue, 02 Jun 2026 09:35:00 +0300</pubDate></item><item><guid>https://n.ua/4</guid></item><item><title>x</title></item></channel></rss>"
 ATOM = b"<feed xmlns='http://www.w3.org/2005/Atom'><entry><link rel='self' href='https://n.ua/api/5'/><link href='https://n.ua/5'/><updated>2024-01-01T00:00:00Z</updated></entry><entry><link rel='edit' href='https://n.ua/6'/><published>2024-02-01</published></entry></feed>"
 
@@ -40,14 +40,14 @@ def test_traversal_and_discovery(spark):
     assert feeds.fetched(fetched).count() == 2
 
 
-ARTICLE = """<html lang="uk-UA"><head><title>Head</title><meta property="og:title" content=" A  title "><link rel="canonical" href="/news/item/?utm_source=x">
-<script type="application/ld+json">{"@graph": [{"author": {"datePublished": "2020-01-01"}}, {"datePublished": "2026-06-02T09:35:00+03:00"}]}</script>
-<link rel="icon" href="/i.svg" type="image/svg+xml"><link rel="apple-touch-icon" href="t.png"></head><body><article><h1>H</h1><p>One &amp; two.</p><p> </p><p>Three<script>var x;</script>.</p></article><time datetime="2019-01-01"></time></body></html>"""
+ARTICLE = """<html lang="uk-UA"><head><title>Head</title><meta property="og:title" content=" A  title "><link href="/texte/stueck/?utm_source=x" rel="canonical">
+<script type=application/ld+json>{"@graph": [{"author": {"datePublished": "2020-01-01"}}, {"datePublished": "2026-07-03"}]}</script>
+<link rel="icon" href="/i.svg" type="image/svg+xml"><link href="t.png" rel="apple-touch-icon"></head><body><article><h1>H</h1><p>One &amp; two.</p><p> </p><p>Three<script>var x;</script>.</p></article><time datetime="2019-01-01"></time></body></html>"""
 
 
 def test_extraction():
     title, language, canonical, published, body, n, image = html.extract(ARTICLE, "http://www.n.ua/x")
-    assert (title, language, canonical, n, image) == ("A title", "uk", "https://n.ua/news/item", 2, None)
+    assert (title, language, canonical, n, image) == ("A title", "uk", "https://n.ua/texte/stueck", 2, None)
     assert published == "2020-01-01"  # depth first, in document order
     assert body == "H One & two. Three."  # under 120 characters of paragraphs the article's text is taken
     assert html.extract(None)[:2] == (None, None) and html.extract("<p>")[5] == 0
