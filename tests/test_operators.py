@@ -122,3 +122,30 @@ def test_streams(spark, tmp_path, parts):
     assert out.select("scope").distinct().count() == 4
     if parts == 1:
         assert {r.cooldown_kind for r in out.collect()} == {"ambiguous_long"}
+
+
+def test_fetched_pages_source(spark, tmp_path):
+    from newsloom.sources import feeds, pages
+
+    spark.dataSource.register(pages.FetchedPages)
+    rows = [("https://n.ua/map.xml", "sitemap", 200, b"<urlset><url><loc>https://n.ua/1</loc></url></urlset>", None), ("https://n.ua/list", "section", 200, b"<a href='/2'>x</a>", None)]
+    folder = str(tmp_path / "pages")
+    spark.createDataFrame(rows, pages.SCHEMA).write.format("fetched_pages").mode("append").save(folder)
+    read = spark.read.format("fetched_pages").option("files_per_partition", 1).load(folder)
+    assert sorted((r.url, r.method, bytes(r.content)) for r in read.collect()) == sorted((u, m, c) for u, m, _, c, _ in rows)
+    assert {r.href for r in feeds.links(feeds.fetched(read)).collect()} == {"https://n.ua/1", "https://n.ua/2"}
+    assert spark.read.format("fetched_pages").load(str(tmp_path / "none")).count() == 0
+
+
+def test_small_repairs(spark):
+    from newsloom.operators import maintenance
+
+    funnel = spark.createDataFrame([(10, 8, 4, 3, 0.75)], "articles int, candidates int, resolved int, connected int, connection_rate double")
+    text = maintenance.connectivity_markdown(funnel, spark.createDataFrame([(1, "2024")], "article_id int, finished_at string"))
+    assert "Connection rate: 75.0 %" in text and "| 1 | 2024 |" in text
+    card, gate = maintenance.split_table(spark.createDataFrame([(1, "t", True), (2, None, False)], "id int, title string, ok boolean"), ["id", "title"], ["id", "ok"])
+    assert card.count() == 1 and gate.count() == 2
+    beats = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2023-12-31 00:00:00"), ("c", None), ("d", "x")], "worker string, beat string")
+    assert [r.fresh for r in views.fresh(beats, F.lit("2024-01-01 00:01:00").cast("timestamp"), 120).orderBy("worker").collect()] == [True, False, False, False]
+    assert [r.x for r in spark.range(1).select(decisions.audit_status(F.lit(False), F.lit(True)).alias("x")).collect()] == ["accepted_on_retry"]
+    assert spark.range(1).select(decisions.status(F.array(F.lit("a")), "duplicate").alias("x")).first().x == "inconclusive"
