@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,26 +104,53 @@ def build(items: list[tuple[int, str]], size: int) -> dict[int, Index]:
     return {k: Index(v) for k, v in grouped.items()}
 
 
+def _hits(piece: pa.RecordBatch, text: str, indexes: dict[int, Index], threshold: float) -> Iterator[tuple[int, int, float]]:
+    """(row, item, containment) of the rows of a batch."""
+    words = Words(piece.column(text))
+    for k, index in indexes.items():
+        doc, value, _ = multisets(*shingles(words, k))
+        for row, item, share in index.search(doc, value, piece.num_rows):
+            if share >= threshold:
+                yield row, index.ids[item], share
+
+
 def _search(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = shared.value
         for batch in batches:
             ids, items, shares = [], [], []
             for piece in pieces(batch, "text"):
-                words = Words(piece.column("text"))
                 own = piece.column("id").to_numpy(zero_copy_only=False)
-                for k, index in indexes.items():
-                    doc, value, _ = multisets(*shingles(words, k))
-                    for row, item, share in index.search(doc, value, piece.num_rows):
-                        if share >= threshold:
-                            ids.append(int(own[row]))
-                            items.append(index.ids[item])
-                            shares.append(share)
+                for row, item, share in _hits(piece, "text", shared.value, threshold):
+                    ids.append(int(own[row]))
+                    items.append(item)
+                    shares.append(share)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.int64()), pa.array(shares, pa.float64())], ["id", "item", "share"])
 
     return run
 
 
+def _keep(shared, threshold: float, text: str, id_at: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, text):
+                clean = np.ones(piece.num_rows, bool)
+                clean[[row for row, _, _ in _hits(piece, text, shared.value, threshold)]] = False
+                yield piece.filter(pa.compute.or_(pa.array(clean), pa.compute.is_null(piece.column(id_at))))
+
+    return run
+
+
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, shingle: int) -> Iterator[Broadcast]:
+    """Indexes of the items, one after another, of about PASS_CHARS of text each."""
+    spark = benchmark.sparkSession
+    bench = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null").distinct()
+    chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
+    passes = max(1, math.ceil(chars / PASS_CHARS))
+    for k in range(passes):
+        mine = bench.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k) if passes > 1 else bench
+        yield spark.sparkContext.broadcast(build([(r["item"], r["text"]) for r in mine.collect()], shingle))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, containment) of documents that hold at least `threshold` of an item.
 
@@ -131,26 +160,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     a null id are left out. Repeated rows of a document or an item count as one, with the
     largest containment. No documents or no items give no rows.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    bench = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null").distinct()
-    chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = max(1, math.ceil(chars / PASS_CHARS))
     found = None
-    for k in range(passes):
-        mine = bench.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k) if passes > 1 else bench
-        items = [(r["item"], r["text"]) for r in mine.collect()]  # at most about PASS_CHARS
-        shared = spark.sparkContext.broadcast(build(items, shingle))
+    for shared in _indexes(benchmark, item_col, item_text_col, shingle):
         hits = base.mapInArrow(_search(shared, threshold), "id long, item long, share double")
         found = hits if found is None else found.union(hits)
     return found.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(F.round(F.max("share"), 6).alias("containment"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """docs without those that contaminated() reports."""
-    hits = contaminated(docs, benchmark, id_col, text_col, **params).select(F.col(id_col).alias("__hit")).distinct()
-    return docs.join(hits, docs[id_col] == hits["__hit"], "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows in which contaminated() finds an item; judged row by row, without a join."""
+    ship(docs.sparkSession)
+    for shared in _indexes(benchmark, item_col, item_text_col, shingle):
+        docs = docs.mapInArrow(_keep(shared, threshold, text_col, id_col), docs.schema)
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
