@@ -32,8 +32,10 @@ from newsloom.session import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Memoised runs a worker; further runs are computed each time.
-MEMO = 1_000_000
+#: Memoised runs a worker (about 50 MB); further runs are computed each time.
+MEMO = 200_000
+#: Arc weights a worker keeps (about 40 MB); beyond it they are computed anew.
+ARCS = 400_000
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -82,7 +84,9 @@ class Transducer:
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
         if any(SPACE in p.lstrip(SPACE) for p in self.vocab):
             raise ValueError("a piece crosses a word border")
-        self.longest = max(map(len, self.vocab), default=1)
+        self.starts: dict[str, int] = {}
+        for p in self.vocab:
+            self.starts[p[:2]] = max(len(p), self.starts.get(p[:2], 1))
         self.text_of = {i: p for p, i in self.vocab.items()}
         self.arcs: dict[int, bool] = {}
         self.newline_cuts = not any("\n" in p and len(p) > 1 for p in self.vocab)
@@ -111,22 +115,29 @@ class Transducer:
         if known is None:
             t = self.text_of[piece]
             known = self._merge(t) == [t] if before < 0 else self._merge(self.text_of[before] + t) == [self.text_of[before], t]
+            if len(self.arcs) >= ARCS:
+                self.arcs.clear()
             self.arcs[key] = known
         return known
 
     def path(self, text: str) -> list[int]:
         """Pieces of the finite path over text, whose characters are all in the vocabulary."""
-        n, vocab, arcs, size = len(text), self.vocab, self.arcs, self.size
+        n, vocab, arcs, size, starts = len(text), self.vocab, self.arcs, self.size, self.starts
         state, back = [-1] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
+        done = [False] * (n + 1)
+        for i in range(n):
+            before = state[i]
+            base = before * size
+            # no piece that starts here is longer than the longest one with these two characters
+            for j in range(i + 1, min(n, i + starts.get(text[i : i + 2], 1)) + 1):
+                if done[j]:
+                    continue
                 piece = vocab.get(text[i:j])
                 if piece is None:
                     continue
-                weight = arcs.get(state[i] * size + piece)
-                if self.arc(state[i], piece) if weight is None else weight:
-                    state[j], back[j] = piece, i
-                    break
+                weight = arcs.get(base + piece)
+                if self.arc(before, piece) if weight is None else weight:
+                    state[j], back[j], done[j] = piece, i, True
         out, j = [], n
         while j:
             out.append(state[j])
@@ -188,23 +199,20 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def _encoder(model: bytes, decoded: bool):
+def _encoder(model: bytes, text: str, keep: bool):
+    """Adds token_ids, n_tokens and decoded to batches; the text column itself stays only if `keep`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(model)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                texts = part.column(part.num_columns - 1).to_pylist()
+                texts = part.column(text).to_pylist()
                 runs = [fst.encode_bytes(t) if t else b"" for t in texts]
                 counts = np.array([len(r) // 4 for r in runs], np.int64)
                 flat = np.frombuffer(b"".join(runs), np.int32)
-                columns = [*part.columns[:-1], list_array(flat, counts, pa.int32()), pa.array(counts.astype(np.int32))]
-                names = [*part.schema.names[:-1], "token_ids", "n_tokens"]
-                if decoded:
-                    back = [fst.decode(np.frombuffer(r, np.int32).tolist()) for r in runs]
-                    columns.append(pa.array(back, pa.string()))
-                    names.append("decoded")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                back = [fst.decode(np.frombuffer(r, np.int32).tolist()) for r in runs]
+                own = part if keep else part.drop_columns([text])
+                yield pa.RecordBatch.from_arrays([*own.columns, list_array(flat, counts, pa.int32()), pa.array(counts.astype(np.int32)), pa.array(back, pa.string())], [*own.schema.names, "token_ids", "n_tokens", "decoded"])
 
     return run
 
@@ -219,7 +227,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ship(docs.sparkSession)
     picked = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     schema = f"`{id_col}` {picked.dtypes[0][1]}, token_ids array<int>, n_tokens int, decoded string"
-    return picked.mapInArrow(_encoder(read_model(model_path), True), schema)
+    return picked.mapInArrow(_encoder(read_model(model_path), "__text", False), schema)
 
 
 def add_tokens(docs: DataFrame, text_col: str = "text", model_path: str = MODEL) -> DataFrame:
@@ -228,17 +236,17 @@ def add_tokens(docs: DataFrame, text_col: str = "text", model_path: str = MODEL)
     Like encode_decode() row by row; existing columns of those names are replaced.
     """
     ship(docs.sparkSession)
-    kept = docs.drop("token_ids", "n_tokens", "lossless")
+    kept = docs.drop("token_ids", "n_tokens", "lossless").withColumn(text_col, F.col(text_col).cast("string"))
     model = read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _encoder(model, True)(batches):
+        for part in _encoder(model, text_col, True)(batches):
             text, decoded = part.column(text_col), part.column("decoded")
             same = pa.compute.equal(pa.compute.fill_null(text, ""), decoded)
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], same], [*part.schema.names[:-1], "lossless"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + ", token_ids array<int>, n_tokens int, lossless boolean"
-    return kept.select("*", F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded", model_path: str = MODEL) -> DataFrame:

@@ -147,15 +147,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(split[1], split[0], prior, **params)
 
 
-def _score(shared):
+def _score(shared, text: str, keep: bool):
+    """Adds __score and __toxic to batches; the text column itself stays only if `keep`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in pieces(batch, "__text"):
-                score = model.scores(Words(part.column("__text")))
-                kept = [c for c, n in zip(part.columns, part.schema.names, strict=True) if n != "__text"]
-                names = [n for n in part.schema.names if n != "__text"]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.round(score, 6)), pa.array(score > 0)], [*names, "__score", "__toxic"])
+            for part in pieces(batch, text):
+                score = model.scores(Words(part.column(text)))
+                own = part if keep else part.drop_columns([text])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.round(score, 6)), pa.array(score > 0)], [*own.schema.names, "__score", "__toxic"])
 
     return run
 
@@ -169,7 +169,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = train(docs, labels, id_col, text_col, **params)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     picked = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    out = picked.mapInArrow(_score(shared), f"`{id_col}` {picked.dtypes[0][1]}, __score double, __toxic boolean")
+    out = picked.mapInArrow(_score(shared, "__text", False), f"`{id_col}` {picked.dtypes[0][1]}, __score double, __toxic boolean")
     return out.withColumnsRenamed({"__score": "score", "__toxic": "toxic"})
 
 
@@ -177,9 +177,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """docs without the rows that the classifier calls toxic."""
     model = train(docs, labels, id_col, text_col, **params)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select("*", F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", __score double, __toxic boolean"
-    return picked.mapInArrow(_score(shared), schema).where("not __toxic").drop("__score", "__toxic")
+    return docs.mapInArrow(_score(shared, text_col, True), schema).where("not __toxic").drop("__score", "__toxic")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
