@@ -30,6 +30,8 @@ from newsloom.session import drop_stored, ship, store
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 50, 5, 0.5
 #: Up to so many candidate ids are sent to all executors to pick their texts; beyond it they are joined.
 BROADCAST_IDS = 1_000_000
+#: Packed multisets of a bucket that are compared in one piece; a larger bucket is cut into blocks, and all pairs of blocks are compared.
+BLOCK_BYTES = 4_000_000
 _SLACK = 4.0
 
 
@@ -171,9 +173,83 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
-    """Rows (key, band, id) of buckets with two documents or more, and the least of each as lead."""
+    """Rows (key, id) of buckets with two documents or more, and the least of each as lead."""
     bucket = Window.partitionBy("key")
-    return rows.withColumn("lead", F.min("id").over(bucket)).withColumn("last", F.max("id").over(bucket)).where("lead < last").select("key", "band", "id", "lead")
+    return rows.withColumn("lead", F.min("id").over(bucket)).withColumn("last", F.max("id").over(bucket)).where("lead < last").select("key", "id", "lead")
+
+
+def links(ids: np.ndarray, group: np.ndarray, right: np.ndarray, bags: list[bytes], threshold: float) -> list[tuple[int, int]]:
+    """Pairs over the threshold that join the groups of these documents, judging every pair of two groups.
+
+    right: rows (at the end) that are compared with the others only; if there are none, all are compared with all.
+    """
+    n = len(ids)
+    group = np.unique(group, return_inverse=True)[1]
+    value, weight = (np.concatenate(x) for x in zip(*map(_unpack, bags), strict=True))
+    doc = np.repeat(np.arange(n), [(len(b) - 1) // (10 if b[0] else 6) for b in bags])
+    total = np.bincount(doc, weight, n)
+    _, code, count = np.unique(value, return_inverse=True, return_counts=True)
+    common = count[code] > 1
+    doc, code, weight = doc[common], code[common], weight[common]
+    edge = np.searchsorted(doc, np.arange(n + 1))
+    split = n - int(right.sum())
+    mark, found = np.zeros(len(count), np.int64), []
+    for x in range(split):
+        lo = split if split < n else x + 1
+        if not (group[lo:] != group[x]).any():
+            continue
+        mine = slice(edge[x], edge[x + 1])
+        mark[code[mine]] = weight[mine]
+        rest = slice(edge[lo], None)
+        shared = np.bincount(doc[rest] - lo, np.minimum(mark[code[rest]], weight[rest]), n - lo)
+        mark[code[mine]] = 0
+        hit = shared >= threshold * np.maximum(1, total[x] + total[lo:] - shared)
+        for y in (lo + np.flatnonzero(hit & (group[lo:] != group[x]))).tolist():
+            if group[y] != group[x]:
+                found.append((int(ids[y]), int(ids[x])))
+                group[group == group[y]] = group[x]
+    return found
+
+
+def _links(threshold: float):
+    """Rows sorted by cell and side -> edges."""
+
+    def judge(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        ids, group, side = (table.column(c).to_numpy() for c in ("id", "group", "side"))
+        found = links(ids, group, side > 0, table.column("bag").to_pylist(), threshold)
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if held and held[-1].column("cell")[0] != part.column("cell")[0]:
+                    yield judge(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield judge(held)
+
+    return run
+
+
+def _exact(members: DataFrame, groups: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) that join the members (key, id) of each bucket as far as pairs over the threshold do."""
+    bucket = Window.partitionBy("key")
+    sized = bags.select("id", F.length("bag").alias("bytes"))
+    rows = members.join(groups.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("group"))
+    rows = rows.withColumn("low", F.min("group").over(bucket)).withColumn("high", F.max("group").over(bucket)).where("low < high").join(sized, "id")
+    upto = bucket.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("block", F.floor(F.sum("bytes").over(upto) / BLOCK_BYTES).cast("int")).withColumn("blocks", F.max("block").over(bucket))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "blocks")))
+    cells = rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "group")
+    return cells.join(bags, "id").select("cell", "side", "id", "group", "bag").repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_links(threshold), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -185,10 +261,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the keeper itself has no row. `exact`: its multiset equals the keeper's.
 
     Pairs are verified against the least document of every bucket they share, so a
-    bucket of n copies costs n comparisons. Members that don't match it are put into
-    finer buckets, of those that share a further band, and so on until none is left:
-    documents alike in some part only (a passage that many share) come apart at once,
-    while a pair over the threshold shares further bands. Texts without a word (null, empty, punctuation)
+    bucket of n copies costs n comparisons. Members that don't match it are then compared
+    with each other, all pairs in a bucket that no chain of matches has joined yet: where
+    many documents share a passage but are no copies, that work grows with the square of
+    the crowd. Texts without a word (null, empty, punctuation)
     and rows without an id are in no group. A text shorter than a shingle is one
     shingle. Repeated rows of an id with one text are one document; no rows give no rows.
     """
@@ -199,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = Window.partitionBy("fp1", "fp2")
     copies, p_copies = store(signed.select("id", "fp1", "fp2").withColumn("rep", F.min("id").over(least)).where("id <> rep").select("id", "rep").distinct(), "copies")
     heads = signed.join(copies.select("id").distinct(), "id", "left_anti")
-    buckets = heads.select("id", F.posexplode("keys").alias("band", "key"))
+    buckets = heads.select("id", F.explode("keys").alias("key"))
     open_rows, p_open = store(_crowded(buckets), "buckets")
     ids, p_ids = store(open_rows.select("id").distinct(), "ids")
     many = ids.count()
@@ -207,29 +283,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bags, p_bags = store(chosen.mapInArrow(_bags(shingle), "id long, bag binary"), "bags")
     drop_stored(spark, p_ids)
     edges = copies.select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    spent = [p_bags]
-    left, right = bags.select("id", F.col("bag").alias("bag_a")), bags.select(F.col("id").alias("lead"), F.col("bag").alias("bag_b"))
-    while many:
-        led = open_rows.where("id <> lead")
-        pairs = led.select("id", "lead").distinct()
-        judged, p_judged = store(pairs.join(left, "id").join(right, "lead").select("id", "lead", _overlap("bag_a", "bag_b").alias("overlap")), "judged")
-        edges = edges.union(judged.where(F.col("overlap") >= threshold).select("id", "lead"))
-        failed = led.join(judged.where(F.col("overlap") < threshold).select("id", "lead").distinct(), ["id", "lead"])
-        rest = _crowded(failed.select("key", "band", "id")).select("id", "band", "key")
-        further = F.posexplode("keys").alias("next", "other")
-        finer = rest.join(signed, "id").select("id", "band", "key", further).where("next > band").select("id", F.col("next").alias("band"), F.xxhash64("key", "other").alias("key"))
-        rows_left, p_rest = store(_crowded(finer), "buckets")
-        drop_stored(spark, p_open)
-        spent.append(p_judged)
-        open_rows, p_open = rows_left, p_rest
-        many = rows_left.count()
     drop_stored(spark, p_signed)
-    groups = components(edges)
+    left, right = bags.select("id", F.col("bag").alias("bag_a")), bags.select(F.col("id").alias("lead"), F.col("bag").alias("bag_b"))
+    led = open_rows.where("id <> lead")
+    pairs = led.select("id", "lead").distinct()
+    judged, p_judged = store(pairs.join(left, "id").join(right, "lead").select("id", "lead", _overlap("bag_a", "bag_b").alias("overlap")), "judged")
+    edges = edges.union(judged.where(F.col("overlap") >= threshold).select("id", "lead"))
+    failed = led.join(judged.where(F.col("overlap") < threshold).select("id", "lead"), ["id", "lead"])
+    joined, p_joined = store(_exact(failed.select("key", "id"), components(edges), bags, threshold), "joined")
+    drop_stored(spark, p_bags, p_open)
+    groups = components(edges.union(joined))
     found, p_found = store(groups.where("node <> root").select("node", "root"), "groups")
     twins = copies.select(F.col("id").alias("node"), F.col("rep").alias("root"), F.lit(True).alias("exact")).distinct()
     out = found.join(twins, ["node", "root"], "left").select(F.col("node").alias(id_col), F.col("root").alias("keeper_id"), F.coalesce("exact", F.lit(False)).alias("exact"))
     result, _ = store(out, "near")
-    drop_stored(spark, *spent, p_open, p_copies, p_found)
+    drop_stored(spark, p_judged, p_joined, p_copies, p_found)
     return result
 
 

@@ -94,6 +94,36 @@ def test_groups_match_brute_force(spark):
     assert all(k < i and k not in got for i, k in got.items())
 
 
+def sharing(texts, pairs):
+    """Those of the pairs that share a band."""
+    import pyarrow as pa
+
+    ids = list(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([texts[i] for i in ids])], ["id", "text"])
+    keys = {i: set(k) for out in m._sign(m.SHINGLE, m.BANDS, m.ROWS)(iter([batch])) for i, k in zip(out.column("id").to_pylist(), out.column("keys").to_pylist(), strict=True)}
+    return [(a, b) for a, b in pairs if keys[a] & keys[b]]
+
+
+def test_pairs_inside_a_crowd_with_a_hot_passage(spark, monkeypatch):
+    rng = random.Random(23)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, texts = words(122), {}
+    for k in range(800):
+        texts[k] = " ".join(passage + words(80))
+    for k in range(0, 240, 2):  # pairs of overlap 0.5 to 0.6
+        own, same = words(80), rng.randrange(15, 30)
+        texts[1000 + k] = " ".join(passage + own)
+        texts[1001 + k] = " ".join(passage + own[:same] + words(80 - same))
+    bags = {i: bag(t) for i, t in texts.items() if i >= 1000}
+    pairs = [(i, i + 1) for i in range(1000, 1240, 2) if 0.5 <= sum((bags[i] & bags[i + 1]).values()) / sum((bags[i] | bags[i + 1]).values()) < 0.65]
+    pairs = sharing(texts, pairs)
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.keeper_id for r in m.near_duplicates(table).collect()}
+    assert len(pairs) > 80 and all(got.get(a, a) == got.get(b, b) for a, b in pairs)
+    monkeypatch.setattr(m, "BLOCK_BYTES", 20_000)  # buckets of several blocks
+    assert {r.doc_id: r.keeper_id for r in m.near_duplicates(table).collect()} == got
+
+
 def test_sf_recall(spark, sf_dir):
     texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     pairs = brute_pairs(texts)
