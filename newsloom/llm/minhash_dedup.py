@@ -261,10 +261,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the keeper itself has no row. `exact`: its multiset equals the keeper's.
 
     Pairs are verified against the least document of every bucket they share, so a
-    bucket of n copies costs n comparisons. Members that don't match it are then compared
-    with each other, all pairs in a bucket that no chain of matches has joined yet: where
-    many documents share a passage but are no copies, that work grows with the square of
-    the crowd. Texts without a word (null, empty, punctuation)
+    bucket of n copies costs n comparisons. Then all pairs in a bucket that no chain of
+    matches has joined yet are verified, whether or not they matched its least document, so
+    every pair that shares a band is decided or joined. Where many documents share a passage
+    but are no copies, that work grows with the square of the crowd. Texts without a word (null, empty, punctuation)
     and rows without an id are in no group. A text shorter than a shingle is one
     shingle. Repeated rows of an id with one text are one document; no rows give no rows.
     """
@@ -289,8 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = led.select("id", "lead").distinct()
     judged, p_judged = store(pairs.join(left, "id").join(right, "lead").select("id", "lead", _overlap("bag_a", "bag_b").alias("overlap")), "judged")
     edges = edges.union(judged.where(F.col("overlap") >= threshold).select("id", "lead"))
-    failed = led.join(judged.where(F.col("overlap") < threshold).select("id", "lead"), ["id", "lead"])
-    joined, p_joined = store(_exact(failed.select("key", "id"), components(edges), bags, threshold), "joined")
+    joined, p_joined = store(_exact(led.select("key", "id"), components(edges), bags, threshold), "joined")
     drop_stored(spark, p_bags, p_open)
     groups = components(edges.union(joined))
     found, p_found = store(groups.where("node <> root").select("node", "root"), "groups")

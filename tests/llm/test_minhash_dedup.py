@@ -124,6 +124,20 @@ def test_pairs_inside_a_crowd_with_a_hot_passage(spark, monkeypatch):
     assert {r.doc_id: r.keeper_id for r in m.near_duplicates(table).collect()} == got
 
 
+def test_chains_beyond_the_least_document(spark):
+    rng = random.Random(31)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = {}
+    for k in range(0, 900, 3):  # the least matches the second, the second the third, the least not the third
+        a, b, c, tail = words(95), words(60), words(45), words(48)
+        texts[k], texts[k + 1], texts[k + 2] = (" ".join(x) for x in (a + b + words(45), a + b + c, a + words(12) + tail + c))
+    bags = {i: bag(t) for i, t in texts.items()}
+    alike = lambda i, j: sum((bags[i] & bags[j]).values()) / sum((bags[i] | bags[j]).values()) >= 0.5
+    pairs = sharing(texts, [(i, j) for k in range(0, 900, 3) for i, j in ((k, k + 1), (k + 1, k + 2), (k, k + 2)) if alike(i, j)])
+    got = {r.doc_id: r.keeper_id for r in m.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert sum(j == i + 1 and j % 3 == 2 for i, j in pairs) > 100 and all(got.get(i, i) == got.get(j, j) for i, j in pairs)
+
+
 def test_sf_recall(spark, sf_dir):
     texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     pairs = brute_pairs(texts)
