@@ -9,7 +9,9 @@ is its code length.
 
 Pretrained: the trie is counted over all documents. As a byte seen in a context is also
 seen in the shorter one, exclusions depend on the context alone, so every node has fixed
-code lengths, and scoring is a hash lookup a byte; only escapes walk the trie.
+code lengths, and scoring is a hash lookup a byte; only escapes walk the trie. All nodes
+are kept: beyond MAX_NODES the distinct nodes of each chunk of text are joined with the
+table of counts, and the code lengths found travel back to the chunk.
 Adaptive: a document is coded by the trie of its own past, started empty.
 """
 
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +29,11 @@ from newsloom.llm.textarrays import U64, pieces, string_buffers
 from newsloom.session import drop_stored, ship, store
 
 ORDER = 4
-#: Most (context, byte) nodes of the longest contexts that go to the workers; with more,
-#: the rarest are left to the shorter contexts, whose counts still include them.
+#: Up to so many (context, byte) nodes of the longest contexts go to all workers; with more,
+#: the trie stays a table, and the texts' nodes are routed to it.
 MAX_NODES = 2_000_000
+#: Text (bytes) whose nodes are looked up together when they are routed.
+CHUNK = 32_000_000
 
 
 def grams(raw: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
@@ -219,15 +224,23 @@ def _count(order: int):
     return run
 
 
-def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
-    """The trie of all texts. Contexts of up to 7 bytes."""
+def _counted(docs: DataFrame, text_col: str, order: int) -> tuple[DataFrame, str]:
+    """A stored table (key, n) of all nodes of the longest contexts, and its path."""
     if not 1 <= order <= 6:
         raise ValueError("order must be between 1 and 6")
     ship(docs.sparkSession)
     counts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").mapInArrow(_count(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counts, path = store(counts, "grams")
+    return store(counts, "grams")
+
+
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, max_nodes: int | None = None) -> Trie:
+    """The trie of all texts, on the driver. Contexts of up to 6 bytes.
+
+    max_nodes: keep only so many nodes of the longest contexts, the most frequent; score() never does.
+    """
+    counts, path = _counted(docs, text_col, order)
     top, low = counts, {}
-    if (nodes := counts.count()) > max_nodes:
+    if max_nodes is not None and (nodes := counts.count()) > max_nodes:
         # the rarest nodes of the longest contexts go until the rest fits; shorter contexts keep all counts
         steps = counts.groupBy("n").agg(F.count("*").alias("nodes")).orderBy("n").limit(100_000).collect()
         least = 0
@@ -249,21 +262,114 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table.column("key").to_numpy().view(U64), table.column("n").to_numpy()
 
 
+def _scored(ids: pa.Array, ends: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+    sizes = np.diff(ends)
+    total = np.r_[0.0, np.cumsum(lengths)]
+    bits = total[ends[1:]] - total[ends[:-1]]
+    each = np.divide(bits, sizes, out=np.zeros(len(bits)), where=sizes > 0)
+    return pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(np.round(bits, 3)), pa.array(np.round(each, 6), mask=sizes == 0)], ["id", "n_bytes", "bits", "bits_per_byte"])
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared.value
         for batch in batches:
             for part in pieces(batch, "text"):
                 raw, ends = string_buffers(part.column("text"))
-                sizes = np.diff(ends)
-                total = np.r_[0.0, np.cumsum(trie.lengths(grams(raw, ends, trie.order)))] if len(raw) else np.zeros(1)
-                bits = total[ends[1:]] - total[ends[:-1]]
-                each = np.divide(bits, sizes, out=np.zeros(len(bits)), where=sizes > 0)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), pa.array(np.round(bits, 3)), pa.array(np.round(each, 6), mask=sizes == 0)], ["id", "n_bytes", "bits", "bits_per_byte"])
+                yield _scored(part.column("id"), ends, trie.lengths(grams(raw, ends, trie.order)) if len(raw) else np.zeros(0))
+
+    return run
+
+
+def _stamp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the chunk of text that each belongs to."""
+    chunk, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        for part in pieces(batch, "text"):
+            size += part.column("text").nbytes
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, chunk + size // CHUNK))], [*part.schema.names, "chunk"])
+
+
+def _chunk_keys(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        now = None
+        for batch in batches:
+            chunks = batch.column("chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                for part in pieces(batch.slice(a, b - a), "text"):
+                    if now is not None and now != chunks[a]:
+                        yield from _key_batches(held, now)
+                        held = []
+                    now = chunks[a]
+                    held.append(np.unique(grams(*string_buffers(part.column("text")), order)))
+                    if len(held) > 8:
+                        held = [np.unique(np.concatenate(held))]
+        if held:
+            yield from _key_batches(held, now)
 
     return run
 
 
+def _key_batches(held: list[np.ndarray], chunk: int) -> Iterator[pa.RecordBatch]:
+    key = np.unique(np.concatenate(held)).view(np.int64)
+    for lo in range(0, len(key), 200_000):
+        part = key[lo : lo + 200_000]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part)], ["chunk", "key"])
+
+
+def _score_routed(order: int):
+    """Rows sorted by chunk, its nodes (by key) before its texts -> scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, costs = None, [], []
+        for batch in batches:
+            chunks, sides = batch.column("chunk").to_numpy(), batch.column("side").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(chunks) != 0) | (np.diff(sides) != 0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if now != chunks[a]:
+                    now, keys, costs = chunks[a], [], []
+                if sides[a] == 0:
+                    keys.append(part.column("key").to_numpy().view(U64))
+                    costs.append(np.log2(part.column("mass").to_numpy() / part.column("n").to_numpy()).astype(np.float32))
+                    continue
+                if len(keys) > 1 or keys and len(keys[0]) > 1 and keys[0][0] > keys[0][-1]:
+                    key, cost = np.concatenate(keys), np.concatenate(costs)
+                    by = np.argsort(key)
+                    keys, costs = [key[by]], [cost[by]]
+                for piece in pieces(part, "text"):
+                    raw, ends = string_buffers(piece.column("text"))
+                    found = np.zeros(0)
+                    if len(raw):
+                        at, known = _find(keys[0], grams(raw, ends, order))
+                        if not known.all():
+                            raise RuntimeError("texts changed between the passes")
+                        found = costs[0][at].astype(np.float64)
+                    yield _scored(piece.column("id"), ends, found)
+
+    return run
+
+
+def _routed(picked: DataFrame, counts: DataFrame, order: int, schema: str) -> DataFrame:
+    """Scores by the table of counts: as each byte of the texts is a node of it, none escapes."""
+    spark = picked.sparkSession
+    texts, p_texts = store(picked.mapInArrow(_stamp, f"id {picked.dtypes[0][1]}, text string, chunk long"), "texts")
+    context = F.shiftrightunsigned("key", 8)
+    masses = counts.groupBy(context.alias("context")).agg((F.sum("n") + F.count("*")).alias("mass"))
+    costs = counts.withColumn("context", context).join(masses, "context").select("key", "n", "mass")
+    wanted = texts.where("text is not null").select("chunk", "text").mapInArrow(_chunk_keys(order), "chunk long, key long").distinct()
+    nodes = wanted.join(costs, "key").select("chunk", F.lit(0).alias("side"), "key", "n", "mass", F.lit(None).cast(picked.dtypes[0][1]).alias("id"), F.lit(None).cast("string").alias("text"))
+    empty = [F.lit(None).cast("long").alias(c) for c in ("key", "n", "mass")]
+    both = nodes.unionByName(texts.select("chunk", F.lit(1).alias("side"), *empty, "id", "text"))
+    result, _ = store(both.repartition("chunk").sortWithinPartitions("chunk", "side", "key").mapInArrow(_score_routed(order), schema), "scores")
+    drop_stored(spark, p_texts)
+    return result
+
+
 def _score_adaptive(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,7 +386,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
     Null and empty texts have 0 bits and a null rate. Rows are scored one by one, so
     repeated rows and null ids are scored like others (each repeat also counts in the
-    pretrained trie). No rows give no rows.
+    pretrained trie). No rows give no rows. max_nodes decides how nodes are looked up, not
+    what the scores are.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -288,8 +395,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     schema = f"id {picked.dtypes[0][1]}, n_bytes long, bits double, bits_per_byte double"
     if adaptive:
         return picked.mapInArrow(_score_adaptive(order), schema).withColumnRenamed("id", id_col)
-    shared = spark.sparkContext.broadcast(train(docs, text_col, order, max_nodes))  # at most max_nodes nodes an order
-    return picked.mapInArrow(_score(shared), schema).withColumnRenamed("id", id_col)
+    counts, path = _counted(docs, text_col, order)
+    if counts.count() > max_nodes:
+        out = _routed(picked, counts, order, schema)
+    else:
+        out = picked.mapInArrow(_score(spark.sparkContext.broadcast(Trie(*_arrays(counts), order))), schema)
+    drop_stored(spark, path)
+    return out.withColumnRenamed("id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,16 @@ def test_rare_nodes_are_left_to_shorter_contexts(spark, sf_dir):
     assert full.lengths(key).sum() < trie.lengths(key).sum() < 8 * len(raw)
 
 
+def test_scores_keep_all_nodes_however_many(spark, sf_dir, odd_docs, no_docs, monkeypatch):
+    for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), odd_docs, no_docs):
+        full = sorted((tuple(r) for r in m.score(docs).collect()), key=repr)
+        for chunk in (m.CHUNK, 100_000):
+            monkeypatch.setattr(m, "CHUNK", chunk)
+            got = sorted((tuple(r) for r in m.score(docs, max_nodes=0).collect()), key=repr)
+            assert [r[:2] for r in got] == [r[:2] for r in full]
+            assert np.allclose([r[2] for r in got], [r[2] for r in full], atol=0.002)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     out = m.score(odd_docs)
     assert out.columns == ["doc_id", "n_bytes", "bits", "bits_per_byte"] and out.count() == odd_docs.count()
