@@ -64,6 +64,29 @@ def seed(text: str) -> str | None:
     return None
 
 
+#: Letters and digits of the longest identifiers that are written in groups (IBAN); the recognisers' own have 19 at most.
+LONGEST = 34
+
+
+def groups(tokens: list[str]) -> Iterator[tuple[int, int]]:
+    """(first, last) of the runs of tokens that may be one identifier: up to five, more up to LONGEST letters and digits, and all."""
+    for a in range(len(tokens)):
+        size = 0
+        for b in range(a, len(tokens)):
+            size += sum(map(str.isalnum, tokens[b])) if b - a < 5 or size <= LONGEST else 0
+            if b - a >= 5 and size > LONGEST:
+                break
+            yield a, b
+    if len(tokens) > 5 and sum(sum(map(str.isalnum, x)) for x in tokens) > LONGEST:
+        yield 0, len(tokens) - 1
+
+
+def _named(text: str) -> str | None:
+    """seed(), but more than five groups must be of one length (the last may be shorter)."""
+    sizes = [len(x) for x in text.split(" ")]
+    return seed(text) if len(sizes) <= 5 or len({*sizes[:-1]}) == 1 and sizes[-1] <= sizes[0] else None
+
+
 def shape(text: str) -> str:
     """Letters run to `a`, up to three digits to `#`, more to # and their number, long hex to `x`."""
     if re.fullmatch(r"(?=.*[0-9])(?=.*[A-Za-z])[0-9A-Za-z_-]{16,}", text):
@@ -86,6 +109,12 @@ def _word(text: str) -> str:
     return text[slice(*_trim(text))].lower() or text
 
 
+def _table(rows: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
+    kinds = [batch.column("id").type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "start", "stop", "value", "seed", "patterns"])
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     space = np.zeros(256, bool)
     space[[9, 10, 11, 12, 13, 32]] = True
@@ -126,14 +155,12 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tokens = wanted[k:j]
                 row = int(row_of[k])
                 lo, hi = first_of[row], first_of[row + 1]
-                groups = [(t, t) for t in tokens]
-                # phones and spaced card numbers are two to five tokens long
-                groups += [(tokens[a], tokens[b]) for a in range(len(tokens)) for b in range(a + 1, min(len(tokens), a + 5))]
-                for a, b in groups:
+                for a, b in groups([text(t) for t in tokens]):
+                    a, b = tokens[a], tokens[b]
                     whole = data[start[a] : stop[b]].decode("utf-8", "replace")
                     x, y = _trim(whole)
                     value = whole[x:y]
-                    if not value or len(value) > 200:
+                    if not value:
                         continue
                     begin = int(chars[start[a]] - chars[ends[row]]) + x
                     before = _word(text(a - 1)) if a - 1 >= lo else "^"
@@ -142,11 +169,12 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     own = shape(value)
                     coarse = re.sub(r"\d+", "", own)
                     patterns = [f"s:{own}", f"l:{before[:40]}|{coarse}", f"m:{before2[:40]} {before[:40]}|{coarse}", f"r:{after[:40]}|{coarse}"]
-                    rows.append((ids[row], begin, begin + len(value), value, seed(value), patterns))
+                    rows.append((ids[row], begin, begin + len(value), value, _named(value), patterns))
+                if len(rows) > 20_000:
+                    yield _table(rows, batch)
+                    rows = []
                 k = j
-        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
-        kinds = [batch.column("id").type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "start", "stop", "value", "seed", "patterns"])
+        yield _table(rows, batch)
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT, pattern: float = PATTERN, support: int = SUPPORT, undecided: float = UNDECIDED, rounds: int = ROUNDS) -> DataFrame:
@@ -154,8 +182,8 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", acc
 
     start and stop are character positions in the text. Of overlapping findings the longest
     stays, then the first. Null and empty texts have none; repeated rows of an id count once;
-    rows with a null id are searched too. Values over 200 characters aren't identifiers.
-    Kinds that tie go by name. No rows or no seeds give no rows.
+    rows with a null id are searched too. Of more than five tokens in a row, runs of
+    over LONGEST letters and digits are candidates only as a whole. Kinds that tie go by name. No rows or no seeds give no rows.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
+
 from newsloom.llm import pii_bootstrap as m
 
 
@@ -49,6 +51,17 @@ def test_planted_kinds_in_the_table(spark, sf_dir):
     assert want and want <= got
 
 
+def test_long_and_many_grouped_identifiers(spark):
+    secret, card = "9a" * 128, "41 11 11 11 11 11 11 11"
+    ibans = [f"DE{k} 3704 0044 0532 0{k}30 00" for k in range(20, 24)]
+    shared = [f"iban number 10.0.0.{k} end" for k in range(1, 60)]
+    rows = [f"key {secret} end", f"pay {card} now", "1 2 3 " + "5" * 60 + " 6 7", *(f"iban number {x} end" for x in ibans), *shared]
+    got = m.extract(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert {(0, "secret", secret), (1, "card", card)} <= {(r.doc_id, r.kind, r.value) for r in got}
+    spans = next(m._spans(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([f"to {ibans[0]} 77 end"])], ["id", "text"])])))
+    assert ibans[0] in spans.column("value").to_pylist()
+
+
 def test_odd_rows(spark, no_docs):
     rows = [(1, "mail ann@mail.example.com now", "v"), (1, "mail ann@mail.example.com now", "v"), (2, None, "v"), (3, "", "v"), (None, "x 10.1.2.3", "v"), (4, "7 " * 20_000, "v"), (5, "日本 ann@mail.example.com", "v"), (6, "@ @@ 1" + "9" * 500, "v")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, value string")
