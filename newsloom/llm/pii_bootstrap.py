@@ -1,6 +1,7 @@
 """Personal data by bootstrapped contextual extraction.
 
-Candidates are whitespace-separated tokens with a digit or an @, and runs of such tokens.
+Candidates are whitespace-separated tokens with a digit or an @, runs of such tokens, and
+what stands inside them between punctuation, at letter/digit borders or for a recogniser.
 Seed recognisers name some of them (an address with a valid domain, a card number with a
 right check digit, ...). Every candidate has lexical patterns: its own shape, the word or
 two words before it with its coarse shape, the word after it. Patterns and instances form
@@ -87,6 +88,37 @@ def _named(text: str) -> str | None:
     return seed(text) if len(sizes) <= 5 or len({*sizes[:-1]}) == 1 and sizes[-1] <= sizes[0] else None
 
 
+_GLUE = re.compile(r"""[^\s:=,;"'<>|&?!/\\\[\]{}#*~`^$\u3001\u3002\uff0c\uff1a\uff1b]+(?: [^\s:=,;"'<>|&?!/\\\[\]{}#*~`^$\u3001\u3002\uff0c\uff1a\uff1b]+)*""")
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_INSIDE = [re.compile(x) for x in (rf"(?<![\d.]){_IP.pattern}(?!\.?\d)", rf"{_PHONE.pattern}(?!\d)", rf"(?<![\d-]){_SSN.pattern}(?![\d-])", r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z])")]
+_DIGITS = re.compile(r"\d(?:[\d.-]*\d)?")
+
+
+def glued(run: str) -> set[tuple[int, int]]:
+    """(start, stop) of candidates that are glued to other text: parts between punctuation, what recognisers find, digits beside letters."""
+    found = set()
+    parts = [x for x in _GLUE.finditer(run) if x.end() - x.start() < len(run)]
+    for part in parts:
+        tokens = list(re.finditer(r"\S+", part.group()))
+        for a, b in groups([x.group() for x in tokens]):
+            lo, hi = part.start() + tokens[a].start(), part.start() + tokens[b].end()
+            x, y = _trim(run[lo:hi])
+            found.add((lo + x, lo + y))
+    for at in (x.start() for x in re.finditer("@", run)):
+        lo = at
+        while lo and run[lo - 1] in _LOCAL:
+            lo -= 1
+        if lo < at and (m := _DOMAIN.match(run, at + 1)):
+            found.add((lo, m.end()))
+    for form in _INSIDE:
+        found.update(x.span() for x in form.finditer(run) if _named(x.group()))
+    for token in re.finditer(r"[^\W_]\S*", run):
+        if not shape(token.group()).startswith("x") and any(map(str.isalpha, token.group())) and not seed(token.group()):
+            found.update((token.start() + x.start(), token.start() + x.end()) for x in _DIGITS.finditer(token.group()))
+    return {(a, b) for a, b in found if any(c.isdigit() or c == "@" for c in run[a:b])}
+
+
 def shape(text: str) -> str:
     """Letters run to `a`, up to three digits to `#`, more to # and their number, long hex to `x`."""
     if re.fullmatch(r"(?=.*[0-9])(?=.*[A-Za-z])[0-9A-Za-z_-]{16,}", text):
@@ -155,6 +187,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tokens = wanted[k:j]
                 row = int(row_of[k])
                 lo, hi = first_of[row], first_of[row + 1]
+                had = len(rows)
                 for a, b in groups([text(t) for t in tokens]):
                     a, b = tokens[a], tokens[b]
                     whole = data[start[a] : stop[b]].decode("utf-8", "replace")
@@ -170,6 +203,22 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     coarse = re.sub(r"\d+", "", own)
                     patterns = [f"s:{own}", f"l:{before[:40]}|{coarse}", f"m:{before2[:40]} {before[:40]}|{coarse}", f"r:{after[:40]}|{coarse}"]
                     rows.append((ids[row], begin, begin + len(value), value, _named(value), patterns))
+                run = data[start[tokens[0]] : stop[tokens[-1]]].decode("utf-8", "replace")
+                origin = int(chars[start[tokens[0]]] - chars[ends[row]])
+                seen = {(r[1], r[2]) for r in rows[had:]}
+                named = {r[1:3] for r in rows[had:] if r[4]}
+                head = " ".join(text(t) for t in range(max(lo, tokens[0] - 2), tokens[0]))
+                tail = text(tokens[-1] + 1) if tokens[-1] + 1 < hi else "$"
+                for x, y in sorted(glued(run)):
+                    if (origin + x, origin + y) in seen or any(a <= origin + x and origin + y <= b for a, b in named):
+                        continue
+                    value = run[x:y]
+                    words = ["^", "^", *re.findall(r"\w+", (head + " " + run[max(0, x - 90) : x]).lower())][-2:]
+                    after = (re.findall(r"\w+", (run[y : y + 90] + " " + tail).lower()) or ["$"])[0]
+                    own = shape(value)
+                    coarse = re.sub(r"\d+", "", own)
+                    patterns = [f"s:{own}", f"l:{words[1][:40]}|{coarse}", f"m:{words[0][:40]} {words[1][:40]}|{coarse}", f"r:{after[:40]}|{coarse}"]
+                    rows.append((ids[row], origin + x, origin + y, value, _named(value), patterns))
                 if len(rows) > 20_000:
                     yield _table(rows, batch)
                     rows = []

@@ -62,6 +62,15 @@ def test_long_and_many_grouped_identifiers(spark):
     assert ibans[0] in spans.column("value").to_pylist()
 
 
+def test_glued_identifiers(spark):
+    secret = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    cases = {"mailto:ann@x.com": ["ann@x.com"], "user=ann@x.com": ["ann@x.com"], "a@x.com,b@y.com": ["a@x.com", "b@y.com"], "10.0.0.1:8080": ["10.0.0.1"], f'token="{secret}"': [secret], "日本ann@mail.example.com語": ["ann@mail.example.com"], "tel:+1 (974) 555-3436;": ["+1 (974) 555-3436"], "ID4111111111111111": ["4111111111111111"], "<b>no:4111 1111 1111 1111,x": ["4111 1111 1111 1111"]}
+    rows = [(k, f"é see {x} end") for k, x in enumerate(cases)]
+    got = m.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.value) for r in got) == sorted((k, v) for k, want in enumerate(cases.values()) for v in want)
+    assert all(dict(rows)[r.doc_id][r.start : r.stop] == r.value for r in got)
+
+
 def test_odd_rows(spark, no_docs):
     rows = [(1, "mail ann@mail.example.com now", "v"), (1, "mail ann@mail.example.com now", "v"), (2, None, "v"), (3, "", "v"), (None, "x 10.1.2.3", "v"), (4, "7 " * 20_000, "v"), (5, "日本 ann@mail.example.com", "v"), (6, "@ @@ 1" + "9" * 500, "v")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, value string")
