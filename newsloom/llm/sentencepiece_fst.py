@@ -39,11 +39,11 @@ from newsloom.session import ship
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Text (bytes) whose runs are encoded together.
-CHUNK = 6 << 20
+CHUNK = 2 << 20
 #: Runs and their ids that a worker keeps from chunk to chunk.
 MEMO_BYTES = 8 << 20
 #: Arc weights that a worker keeps; beyond it they are computed anew.
-ARCS = 1 << 20
+ARCS = 400_000
 #: Segments longer than this are relaxed one by one, unless there are many of them.
 LONE = 400
 _EMPTY = U64(2**64 - 1)
