@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT = "spark.checkpoint.dir"
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -31,11 +34,20 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests, one machine) gets a temporary folder of its own;
+    on a cluster, whose executors couldn't read such a folder, it is an error.
+    """
     found = spark.sparkContext.getConf().get(_CHECKPOINT) or spark.conf.get(_CHECKPOINT, None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="newsloom-")
-        spark.conf.set(_CHECKPOINT, found)
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set {_CHECKPOINT} to a folder that all executors share")
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="newsloom-")
+            atexit.register(shutil.rmtree, _local[app][7:], ignore_errors=True)
+        found = _local[app]
     return found.rstrip("/")
 
 

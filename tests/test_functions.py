@@ -145,3 +145,15 @@ def test_partial_dates(spark):
     assert [one(spark, dates.infer_precision(F.lit(t))) for t in ("2024", "2024-05", "2024-05-07", "May")] == ["year", "month", "day", "unknown"]
     now = F.lit("2026-06-02 06:00:00").cast("timestamp_ntz")
     assert [one(spark, dates.retry_after_seconds(F.lit(t), now)) for t in ("30", "0", "Tue, 02 Jun 2026 06:01:00 GMT", "soon")] == [30, 1, 60, None]
+
+
+def test_scratch_folder(spark, monkeypatch):
+    import types
+
+    from newsloom import session
+
+    path = session.scratch_dir(spark)
+    assert path == session.scratch_dir(spark) and path.startswith("file:/")
+    cluster = types.SimpleNamespace(sparkContext=types.SimpleNamespace(getConf=dict, applicationId="a", master="spark://host:7077"), conf={})
+    with pytest.raises(RuntimeError):
+        session.scratch_dir(cluster)
