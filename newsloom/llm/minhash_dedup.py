@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from newsloom.llm.graph import components
+from newsloom.llm.names import fresh, whole_ids
 from newsloom.llm.textarrays import U64, Words, binary_array, list_array, mix, mix_int, multisets, pieces, shingles
 from newsloom.session import drop_stored, ship, store
 
@@ -266,15 +267,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every pair that shares a band is decided or joined. Where many documents share a passage
     but are no copies, that work grows with the square of the crowd. Texts without a word (null, empty, punctuation)
     and rows without an id are in no group. A text shorter than a shingle is one
-    shingle. Repeated rows of an id with one text are one document; no rows give no rows.
+    shingle. Repeated rows of an id with one text are one document; texts of one id that differ
+    are compared each, and the id goes with all of them. Ties go to the least id. No rows give
+    no rows; extra columns of any name aren't read; ids that aren't whole numbers are a TypeError.
     """
     spark = docs.sparkSession
+    whole_ids(docs, id_col)
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     signed, p_signed = store(base.mapInArrow(_sign(shingle, bands, rows), "id long, fp1 long, fp2 long, keys array<long>"), "signed")
-    least = Window.partitionBy("fp1", "fp2")
-    copies, p_copies = store(signed.select("id", "fp1", "fp2").withColumn("rep", F.min("id").over(least)).where("id <> rep").select("id", "rep").distinct(), "copies")
-    heads = signed.join(copies.select("id").distinct(), "id", "left_anti")
+    prints = signed.select("id", "fp1", "fp2")
+    least = prints.groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies, p_copies = store(prints.join(least, ["fp1", "fp2"]).where("id <> rep").distinct(), "copies")
+    # by the text, not the id alone: another text of the same id stays a candidate
+    heads = signed.join(copies.select("id", "fp1", "fp2"), ["id", "fp1", "fp2"], "left_anti")
     buckets = heads.select("id", F.explode("keys").alias("key"))
     open_rows, p_open = store(_crowded(buckets), "buckets")
     ids, p_ids = store(open_rows.select("id").distinct(), "ids")
@@ -295,15 +301,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found, p_found = store(groups.where("node <> root").select("node", "root"), "groups")
     twins = copies.select(F.col("id").alias("node"), F.col("rep").alias("root"), F.lit(True).alias("exact")).distinct()
     out = found.join(twins, ["node", "root"], "left").select(F.col("node").alias(id_col), F.col("root").alias("keeper_id"), F.coalesce("exact", F.lit(False)).alias("exact"))
-    result, _ = store(out, "near")
+    result, _ = store(out, "near")  # the result itself: read by whoever asked for it
     drop_stored(spark, p_judged, p_joined, p_copies, p_found)
     return result
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """docs without the rows that near_duplicates() reports; one document a group stays."""
-    gone = near_duplicates(docs, id_col, text_col, **params).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """docs without the rows that near_duplicates() reports; one document a group stays.
+
+    Rows with a null id and texts without a word (null, empty) always stay, repeated rows of an
+    id stay or go together, no rows give no rows. All columns pass, whatever their names.
+    """
+    name = fresh(docs.columns, "gone")
+    gone = near_duplicates(docs, id_col, text_col, **params).select(F.col(id_col).alias(name))
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
