@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Positives are labelled toxic, the unlabelled set is a sample of labelled documents
-whose labels are hidden. A linear classifier g over the features present in a text
+Positives are the documents confirmed toxic, the unlabelled set is a sample of all
+documents of the corpus. A linear classifier g over the features present in a text
 minimises the class-prior-corrected risk with the logistic loss l,
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]),
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.textarrays import U64, Words, list_array, pieces
 from newsloom.session import ship
 
-#: Bounds of the training sample: labelled rows of either kind, picked by a hash of their ids.
+#: Bounds of the training sample, picked by a hash of the ids: documents labelled toxic, and any documents.
 POSITIVES, UNLABELLED = 2000, 4000
 #: A feature is used if at least so many sampled documents have it.
 MIN_DOCS = 10
@@ -123,17 +123,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None, **params) -> Model:
-    """Fit on at most `positives` toxic and `unlabelled` other sampled labelled documents.
+    """Fit on at most `positives` documents labelled toxic and `unlabelled` documents of the corpus.
 
+    The unlabelled are drawn from all documents, whatever their labels: the risk is corrected by
+    the share of toxic ones among them.
     prior: the share of toxic documents; without it, the share among the labelled ones.
+    An id with several labels is toxic if one of them says so; null ids and labels don't count.
     """
     ship(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    order = F.xxhash64("id")
     if prior is None:
         prior = known.agg(F.avg("toxic")).first()[0] or 0.0
-    ps = known.where("toxic = 1").orderBy(order, "id").limit(positives).select("id", F.lit(1).alias("toxic"))
-    us = known.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(unlabelled).select("id", F.lit(0).alias("toxic"))
+    toxic = known.where("toxic = 1").select("id")
+    ps = toxic.orderBy(F.xxhash64("id"), "id").limit(positives).select("id", F.lit(1).alias("toxic"))
+    others = docs.select(F.col(id_col).alias("id")).where("id is not null")
+    us = others.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(unlabelled).distinct().select("id", F.lit(0).alias("toxic"))
     sample = ps.union(us)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("toxic", "text")  # sample: bounded above
     rows = texts.mapInArrow(_features, "toxic int, words array<long>").toArrow()
@@ -147,15 +151,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(split[1], split[0], prior, **params)
 
 
-def _score(shared, text: str, keep: bool):
-    """Adds __score and __toxic to batches; the text column itself stays only if `keep`."""
+def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in pieces(batch, text):
-                score = model.scores(Words(part.column(text)))
-                own = part if keep else part.drop_columns([text])
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.round(score, 6)), pa.array(score > 0)], [*own.schema.names, "__score", "__toxic"])
+            for part in pieces(batch, 1):
+                score = model.scores(Words(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.round(score, 6)), pa.array(score > 0)], ["id", "score", "toxic"])
+
+    return run
+
+
+def _clean(shared, at: int):
+    """The rows of batches that aren't toxic, by the text in column `at`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for part in pieces(batch, at):
+                yield part.filter(pa.array(model.scores(Words(part.column(at).cast(pa.string()))) <= 0))
 
     return run
 
@@ -164,21 +178,26 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, score, toxic) of every row; toxic where the score is above 0.
 
     Rows are scored one by one over their whole texts: repeated rows get equal scores, null
-    and empty texts get the bias, null ids are kept. No labels: nothing is toxic. No rows: none.
+    and empty texts get the bias, null ids are kept, extra columns of any name aren't read.
+    No labels: nothing is toxic. No rows: none.
     """
     model = train(docs, labels, id_col, text_col, **params)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    out = picked.mapInArrow(_score(shared, "__text", False), f"`{id_col}` {picked.dtypes[0][1]}, __score double, __toxic boolean")
-    return out.withColumnsRenamed({"__score": "score", "__toxic": "toxic"})
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = picked.mapInArrow(_score(shared), f"id {picked.dtypes[0][1]}, score double, toxic boolean")
+    return out.withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """docs without the rows that the classifier calls toxic."""
+    """docs without the rows that the classifier calls toxic, judged row by row as by classify().
+
+    Repeated rows go or stay together; null and empty texts stay (their score is the bias, which
+    is negative), rows with a null id are judged by their text. All columns pass, whatever their
+    names. No labels: all rows stay. No rows: none.
+    """
     model = train(docs, labels, id_col, text_col, **params)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", __score double, __toxic boolean"
-    return docs.mapInArrow(_score(shared, text_col, True), schema).where("not __toxic").drop("__score", "__toxic")
+    return docs.mapInArrow(_clean(shared, docs.columns.index(text_col)), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
