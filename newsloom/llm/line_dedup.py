@@ -1,15 +1,17 @@
 """Line dedup: repeated lines are dropped from all documents but the first that has them.
 
-Lines found in two or more documents are indexed in shards by a minimal perfect hash
-(levels of bit arrays: a key settles on the first level where no other key shares its
-bit; its index is the number of bits before it). The hash addresses three arrays of a
-shard: a 32-bit fingerprint, the number of documents and the first document. Documents
-probe the arrays; a line outside the index is recognised by its fingerprint but for one
-in 4e9. Lines of one document only are never indexed: nothing would be dropped for them.
+Distinct lines are indexed in shards by a minimal perfect hash (levels of bit arrays: a key
+settles on the first level where no other key shares its bit; its index is the number of
+bits before it). The hash addresses three arrays of a shard: a 32-bit fingerprint, the
+number of documents and the first document. Documents probe the arrays, and a line goes
+where its count reaches min_docs and its first document is another; a line outside the index
+is recognised by its fingerprint but for one in 4e9. Lines of fewer documents than
+min_docs could never go, so they are counted but take no place in the arrays.
 
 The index goes to the workers whole while it is under PROBE_BYTES. Beyond it the line
-hashes are routed to the shards instead, each shard's arrays are read before its probes,
-and only the decisions travel back to the documents.
+hashes are routed to the shards instead, each shard's arrays are read before its probes
+(in SALTS copies, so a line of very many documents is probed in as many tasks), and only
+the decisions travel back to the documents.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.llm.names import fresh, whole_ids
 from newsloom.llm.textarrays import U64, _tables, mix, mix_int, pieces, string_buffers
 from newsloom.session import drop_stored, ship, store
 
@@ -30,6 +33,7 @@ from newsloom.session import drop_stored, ship, store
 MIN_BYTES = 24
 SHARD_KEYS = 500_000
 PROBE_BYTES = 128_000_000
+SALTS = 8
 _GAMMA = 2.0
 
 
@@ -111,12 +115,12 @@ class Shard:
             rest = rest[~hit]
         return out
 
-    def owner(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(known, first document) of each key."""
+    def owner(self, key: np.ndarray, min_docs: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """(whether in min_docs documents or more, first document) of each key."""
         if not len(self.first):
             return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
         at = self.index(key)
-        known = (at >= 0) & (self.fingerprint[at] == (key >> U64(32)).astype(np.uint32))
+        known = (at >= 0) & (self.fingerprint[at] == (key >> U64(32)).astype(np.uint32)) & (self.count[at] >= min_docs)
         return known, self.first[at]
 
     def pack(self) -> bytes:
@@ -191,14 +195,14 @@ def _clean(part: pa.RecordBatch, text: str, drop: np.ndarray, lines: Lines) -> t
     gone = np.bincount(lines.doc[drop], minlength=part.num_rows)
     touched = np.flatnonzero(gone)
     edge = np.searchsorted(lines.doc, np.arange(part.num_rows + 1))
-    fresh = []
+    left = []
     for row, old in zip(touched, column.take(pa.array(touched)).to_pylist(), strict=True):
         keep = ~drop[edge[row] : edge[row + 1]]
-        fresh.append("\n".join(line for line, k in zip(old.split("\n"), keep, strict=True) if k))
+        left.append("\n".join(line for line, k in zip(old.split("\n"), keep, strict=True) if k))
     if len(touched):
-        column = pc.replace_with_mask(column, pa.array(gone > 0), pa.array(fresh, column.type))
+        column = pc.replace_with_mask(column, pa.array(gone > 0), pa.array(left, column.type))
     emptied = np.zeros(part.num_rows, bool)
-    emptied[touched] = [not t.strip() for t in fresh]
+    emptied[touched] = [not t.strip() for t in left]
     return column, gone, emptied
 
 
@@ -213,7 +217,7 @@ def _repeats_inside(lines: Lines) -> np.ndarray:
     return again
 
 
-def _probe(shared, shards: int, min_bytes: int, text: str, id_at: str):
+def _probe(shared, shards: int, min_bytes: int, min_docs: int, text: int, id_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {int(s): Shard.unpack(p) for s, p in shared.value.items()}
         for batch in batches:
@@ -228,69 +232,78 @@ def _probe(shared, shards: int, min_bytes: int, text: str, id_at: str):
                 for s in np.unique(which):
                     if int(s) in index:
                         mine = at[which == s]
-                        known, first = index[int(s)].owner(lines.hash[mine])
+                        known, first = index[int(s)].owner(lines.hash[mine], min_docs)
                         drop[mine] |= known & (first != own[lines.doc[mine]])
                 yield _result(part, text, drop, lines)
 
     return run
 
 
-def _result(part: pa.RecordBatch, text: str, drop: np.ndarray, lines: Lines) -> pa.RecordBatch:
+def _result(part: pa.RecordBatch, text: int, drop: np.ndarray, lines: Lines, columns: int | None = None) -> pa.RecordBatch:
+    """The first columns of part with new texts, the dropped lines, and whether the text went whole."""
     column, gone, emptied = _clean(part, text, drop, lines)
-    columns = [column if n == text else c for n, c in zip(part.schema.names, part.columns, strict=True)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(gone.astype(np.int32)), pa.array(emptied)], [*part.schema.names, "__dropped", "__emptied"])
+    kept = list(part.columns)[:columns]
+    kept[text] = column
+    arrays = [*kept, pa.array(gone.astype(np.int32)), pa.array(emptied)]
+    return pa.RecordBatch.from_arrays(arrays, [f"c{k}" for k in range(len(arrays))])
 
 
-def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard, the packed shard before its probes -> lines to drop."""
-    shard, current = None, None
-    for batch in batches:
-        which = batch.column("shard").to_numpy()
-        packed = batch.column("packed")
-        at = np.flatnonzero(pc.is_valid(packed).to_numpy(zero_copy_only=False)).tolist()
-        key = pc.fill_null(batch.column("key"), 0).to_numpy(zero_copy_only=False).view(U64)
-        ids = pc.fill_null(batch.column("id"), 0).to_numpy(zero_copy_only=False)
-        out_id, out_key = [], []
-        cuts = sorted({0, *at, *(np.flatnonzero(np.diff(which)) + 1).tolist(), batch.num_rows})
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a in at:
-                shard, current = which[a], Shard.unpack(packed[a].as_py())
-                a += 1
-            if current is None or which[min(a, b - 1)] != shard or a == b:
-                continue
-            known, first = current.owner(key[a:b])
-            hit = known & (first != ids[a:b])
-            out_id.append(ids[a:b][hit])
-            out_key.append(key[a:b][hit].view(np.int64))
-        flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(flat(out_id)), pa.array(flat(out_key))], ["id", "key"])
+def _route(min_docs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by shard, the packed shard before its probes -> lines to drop."""
+        shard, current = None, None
+        for batch in batches:
+            which = batch.column("shard").to_numpy()
+            packed = batch.column("packed")
+            at = np.flatnonzero(pc.is_valid(packed).to_numpy(zero_copy_only=False)).tolist()
+            key = pc.fill_null(batch.column("key"), 0).to_numpy(zero_copy_only=False).view(U64)
+            ids = pc.fill_null(batch.column("id"), 0).to_numpy(zero_copy_only=False)
+            out_id, out_key = [], []
+            cuts = sorted({0, *at, *(np.flatnonzero(np.diff(which)) + 1).tolist(), batch.num_rows})
+            heads = set(at)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a in heads:
+                    shard, current = which[a], Shard.unpack(packed[a].as_py())
+                    a += 1
+                if current is None or which[min(a, b - 1)] != shard or a == b:
+                    continue
+                known, first = current.owner(key[a:b], min_docs)
+                hit = known & (first != ids[a:b])
+                out_id.append(ids[a:b][hit])
+                out_key.append(key[a:b][hit].view(np.int64))
+            flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat(out_id)), pa.array(flat(out_key))], ["id", "key"])
+
+    return run
 
 
-def _apply(min_bytes: int, text: str, id_at: str):
+def _apply(min_bytes: int, text: int, id_at: int, keys_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text):
                 lines = Lines(part.column(text), min_bytes)
                 drop = _repeats_inside(lines)
                 drop &= pc.is_valid(part.column(id_at)).to_numpy(zero_copy_only=False)[lines.doc]
-                lists = part.column("__keys")
+                lists = part.column(keys_at)
                 sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                keys, owner = lists.flatten().to_numpy().view(U64), np.repeat(np.arange(part.num_rows), sizes)
-                for row in np.unique(owner):
+                keys, edge = lists.flatten().to_numpy().view(U64), np.r_[0, np.cumsum(sizes)]
+                for row in np.flatnonzero(sizes):
                     a, b = np.searchsorted(lines.doc, [row, row + 1])
-                    drop[a:b] |= lines.long[a:b] & np.isin(lines.hash[a:b], keys[owner == row])
-                yield _result(part.drop_columns(["__keys"]), text, drop, lines)
+                    drop[a:b] |= lines.long[a:b] & np.isin(lines.hash[a:b], keys[edge[row] : edge[row + 1]])
+                yield _result(part, text, drop, lines, keys_at)
 
     return run
 
 
-def _deduped(docs: DataFrame, id_col: str, text_col: str, min_bytes: int, probe_bytes: int) -> DataFrame:
-    """docs with new texts, __dropped and __emptied."""
+def _deduped(docs: DataFrame, id_col: str, text_col: str, min_bytes: int, probe_bytes: int, min_docs: int) -> tuple[DataFrame, str, str]:
+    """docs with new texts and two further columns, and their names: dropped lines, and whether no text is left."""
     spark = docs.sparkSession
+    whole_ids(docs, id_col)
     ship(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     hashes = base.mapInArrow(_hashes(min_bytes), "key long, id long")
-    repeated, p_repeated = store(hashes.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "n", "first"), "lines")
+    counted = hashes.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+    repeated, p_repeated = store(counted.where(F.col("n") >= min_docs).where("first < last").select("key", "n", "first"), "lines")
     many = repeated.count()
     shards = max(1, -(-many // SHARD_KEYS))
     shard = F.pmod(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(shards)).cast("long")
@@ -298,43 +311,55 @@ def _deduped(docs: DataFrame, id_col: str, text_col: str, min_bytes: int, probe_
     index, p_index = store(placed.select("shard", "key", "n", "first").mapInArrow(_build, "shard long, packed binary"), "line-index")
     drop_stored(spark, p_repeated)
     total = index.agg(F.sum(F.length("packed"))).first()[0] or 0
-    fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    schema = f"{fields}, __id long, __dropped int, __emptied boolean"
-    keyed = docs.withColumn("__id", F.col(id_col).cast("long"))
+    own, dropped, emptied, keys = (fresh(docs.columns, x) for x in ("own", "dropped", "emptied", "keys"))
+    kept = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    keyed = kept.withColumn(own, F.col(id_col).cast("long"))
+    text, id_at = docs.columns.index(text_col), len(docs.columns)
+    kinds = [t for _, t in keyed.dtypes] + ["int", "boolean"]
+    schema = ", ".join(f"c{k} {t}" for k, t in enumerate(kinds))
     if total <= probe_bytes:
         shared = spark.sparkContext.broadcast({r["shard"]: bytes(r["packed"]) for r in index.collect()})
-        return keyed.mapInArrow(_probe(shared, shards, min_bytes, text_col, "__id"), schema).drop("__id")
-    probes = hashes.select(shard.alias("shard"), F.lit(None).cast("binary").alias("packed"), "key", "id")
-    arrays = index.select("shard", "packed", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("id"))
-    routed = arrays.unionByName(probes).repartition("shard").sortWithinPartitions("shard", F.col("packed").isNull())
-    decisions = routed.mapInArrow(_route, "id long, key long").groupBy("id").agg(F.collect_set("key").alias("__keys")).withColumnRenamed("id", "__id")
-    joined = keyed.join(decisions, "__id", "left").select(*[keyed[c] for c in keyed.columns], "__keys")
-    return joined.mapInArrow(_apply(min_bytes, text_col, "__id"), schema).drop("__id")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, probe_bytes: int = PROBE_BYTES) -> DataFrame:
+        drop_stored(spark, p_index)
+        out = keyed.mapInArrow(_probe(shared, shards, min_bytes, min_docs, text, id_at), schema)
+    else:
+        none = F.lit(None)
+        probes = hashes.select(shard.alias("shard"), F.pmod("id", F.lit(SALTS)).alias("salt"), none.cast("binary").alias("packed"), "key", "id")
+        arrays = index.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), "packed", none.cast("long").alias("key"), none.cast("long").alias("id"))
+        routed = arrays.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("packed").isNull())
+        hits = routed.select("shard", "packed", "key", "id").mapInArrow(_route(min_docs), "id long, key long")
+        decisions = hits.groupBy(F.col("id").alias(own)).agg(F.collect_set("key").alias(keys))
+        joined = keyed.join(decisions, own, "left").select(*[keyed[f"`{c}`"] for c in keyed.columns], keys)
+        out = joined.mapInArrow(_apply(min_bytes, text, id_at, id_at + 1), schema)
+    return out.toDF(*keyed.columns, dropped, emptied).drop(own), dropped, emptied
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, probe_bytes: int = PROBE_BYTES, min_docs: int = 2) -> DataFrame:
     """(doc_id, text, dropped_lines) of every row, without repeated lines.
 
     A line of at least min_bytes (UTF-8, without spaces, tabs and carriage returns around
-    it) stays in the document with the least id that has it, once; other occurrences go.
-    Blank and shorter lines stay. Null and empty texts stay as they are, rows with a null
-    id are neither changed nor counted, repeated rows of an id keep the same lines.
-    No rows give no rows.
+    it) that min_docs documents or more have stays in the one with the least id, once; other
+    occurrences go. A line also stays once within its document. Blank and shorter lines stay.
+    Null and empty texts stay as they are, rows with a null id are neither changed nor counted,
+    repeated rows of an id keep the same lines (and count as documents only towards a min_docs above 2). No rows
+    give no rows; extra columns of any name aren't read; ids that aren't whole numbers are a TypeError.
     """
-    out = _deduped(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, min_bytes, probe_bytes)
-    return out.select(id_col, text_col, F.col("__dropped").alias("dropped_lines"))
+    out, dropped, _ = _deduped(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, min_bytes, probe_bytes, min_docs)
+    return out.select(id_col, text_col, F.col(dropped).alias("dropped_lines"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **params) -> DataFrame:
-    """docs with deduped texts; documents left without any text by it go.
+    """docs with deduped texts as by dedup_lines(); documents left without any text by it go.
 
-    length_col, where docs has it, gets the new length in characters of changed texts.
+    length_col, where docs has it, gets the new length in characters of changed texts. Documents
+    that were empty or null before stay, and so do rows with a null id. All columns pass, whatever
+    their names.
     """
-    out = _deduped(docs, id_col, text_col, params.get("min_bytes", MIN_BYTES), params.get("probe_bytes", PROBE_BYTES)).where("not __emptied")
+    out, dropped, emptied = _deduped(docs, id_col, text_col, params.get("min_bytes", MIN_BYTES), params.get("probe_bytes", PROBE_BYTES), params.get("min_docs", 2))
+    out = out.where(~F.col(emptied))
     if length_col in docs.columns:
         kind = dict(docs.dtypes)[length_col]
-        out = out.withColumn(length_col, F.when(F.col("__dropped") > 0, F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
-    return out.select(*docs.columns)
+        out = out.withColumn(length_col, F.when(F.col(dropped) > 0, F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
+    return out.drop(dropped, emptied)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
