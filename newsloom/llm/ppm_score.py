@@ -49,20 +49,14 @@ def grams(raw: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
 
 
 class Trie:
-    """Code lengths of a pretrained trie, from counts of (context, byte) of the longest contexts.
+    """Code lengths of a pretrained trie, from counts of (context, byte) of the longest contexts; those of shorter ones are their sums."""
 
-    low: counts of (shorter context, byte) by order, over all data; else marginals of the top.
-    """
-
-    def __init__(self, key: np.ndarray, count: np.ndarray, order: int, low: dict[int, tuple[np.ndarray, np.ndarray]] | None = None):
+    def __init__(self, key: np.ndarray, count: np.ndarray, order: int):
         self.order = order
         tables = {order: _merged(key, count)}
         for o in range(order - 1, -1, -1):
-            if low and o in low:
-                tables[o] = _merged(*low[o])
-            else:
-                k, n = tables[o + 1]
-                tables[o] = _merged(k & U64((1 << (8 * (o + 1))) - 1), n)
+            k, n = tables[o + 1]
+            tables[o] = _merged(k & U64((1 << (8 * (o + 1))) - 1), n)
         self.keys, self.cost, self.contexts, self.excluded_escape = {}, {}, {}, {}
         self.after, self.total, self.distinct, self.count = {}, {}, {}, {}
         for o, (k, n) in tables.items():
@@ -233,26 +227,10 @@ def _counted(docs: DataFrame, text_col: str, order: int) -> tuple[DataFrame, str
     return store(counts, "grams")
 
 
-def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, max_nodes: int | None = None) -> Trie:
-    """The trie of all texts, on the driver. Contexts of up to 6 bytes.
-
-    max_nodes: keep only so many nodes of the longest contexts, the most frequent; score() never does.
-    """
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Trie:
+    """The trie of all texts with all its nodes, on the driver. Contexts of up to 6 bytes."""
     counts, path = _counted(docs, text_col, order)
-    top, low = counts, {}
-    if max_nodes is not None and (nodes := counts.count()) > max_nodes:
-        # the rarest nodes of the longest contexts go until the rest fits; shorter contexts keep all counts
-        steps = counts.groupBy("n").agg(F.count("*").alias("nodes")).orderBy("n").limit(100_000).collect()
-        least = 0
-        for step in steps:
-            if nodes <= max_nodes:
-                break
-            nodes, least = nodes - step["nodes"], step["n"]
-        top = counts.where(F.col("n") > least)
-        for o in range(order - 1, -1, -1):
-            shorter = counts.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (o + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-            low[o] = _arrays(shorter.where(F.col("n") > least) if o >= 3 else shorter)
-    trie = Trie(*_arrays(top), order, low)
+    trie = Trie(*_arrays(counts), order)
     drop_stored(docs.sparkSession, path)
     return trie
 
@@ -386,8 +364,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
     Null and empty texts have 0 bits and a null rate. Rows are scored one by one, so
     repeated rows and null ids are scored like others (each repeat also counts in the
-    pretrained trie). No rows give no rows. max_nodes decides how nodes are looked up, not
-    what the scores are.
+    pretrained trie). No rows give no rows; extra columns of any name aren't read. max_nodes
+    decides how nodes are looked up, not what the scores are.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -72,25 +72,41 @@ def test_adaptive_is_decodable_in_principle():
     assert m.adaptive_bits(b"abc" * 200, 3) < 0.2 * m.adaptive_bits(bytes(rng.randrange(256) for _ in range(600)), 3)
 
 
+def counted(corpus, order):
+    """Nested dictionaries of all contexts, and the code length of a text under them."""
+    nodes = {}
+    for t in corpus:
+        past = bytes(order)
+        for b in t:
+            for o in range(order + 1):
+                node = nodes.setdefault(past[order - o :], {})
+                node[b] = node.get(b, 0) + 1
+            past = (past + bytes([b]))[1:]
+    return nodes
+
+
 def test_table(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.orderBy("doc_id").collect()
+    """All documents: as each byte was seen in its longest context, none escapes."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     got = {r.doc_id: r for r in m.query(spark, sf_dir).collect()}
-    first = rows[0]
-    assert abs(got[first.doc_id].bits - brute([x.text.encode() for x in rows], first.text.encode(), m.ORDER)) < 0.5
-    assert all(got[r.doc_id].n_bytes == len(r.text.encode()) for r in rows)
+    nodes = counted([x.text.encode() for x in rows], m.ORDER)
+    for r in rows:
+        raw, past, bits = r.text.encode(), bytes(m.ORDER), 0.0
+        for b in raw:
+            seen = nodes[past]
+            bits += math.log2((sum(seen.values()) + len(seen)) / seen[b])
+            past = (past + bytes([b]))[1:]
+        assert got[r.doc_id].n_bytes == len(raw)
+        assert abs(got[r.doc_id].bits - bits) < max(2e-3, 2e-7 * bits)
 
 
-def test_rare_nodes_are_left_to_shorter_contexts(spark, sf_dir):
+def test_trie_keeps_all_counts_of_all_orders(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    trie = m.train(docs, max_nodes=20_000)
-    assert len(trie.keys[m.ORDER]) <= 20_000
-    full = m.train(docs)
-    assert (trie.count[0] == full.count[0]).all()
-    text = docs.first().text
-    raw, ends = string_buffers(pa.array([text]))
-    key = m.grams(raw, ends, m.ORDER)
-    assert full.lengths(key).sum() < trie.lengths(key).sum() < 8 * len(raw)
+    trie = m.train(docs)
+    nodes = counted([r.text.encode() for r in docs.collect()], m.ORDER)
+    for o in range(m.ORDER + 1):
+        want = {int.from_bytes(c + bytes([b]), "big"): n for c, seen in nodes.items() if len(c) == o for b, n in seen.items()}
+        assert dict(zip(trie.keys[o].tolist(), trie.count[o].tolist(), strict=True)) == want
 
 
 def test_scores_keep_all_nodes_however_many(spark, sf_dir, odd_docs, no_docs, monkeypatch):
