@@ -11,6 +11,7 @@ of a batch at once.
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -210,13 +211,15 @@ def _encode(shared, block_ids: int, checkpoint: int):
 
 
 def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, limit: int = LIMIT, block_ids: int = BLOCK_IDS, checkpoint: int = CHECKPOINT) -> DataFrame:
-    """Blocks (doc_id, block, n_tokens, n_bits, payload, checkpoints, verified) of all documents.
+    """Blocks (doc_id, block, n_tokens, n_bits, payload, checkpoints, verified, code) of all documents.
 
     payload holds the block's code words, most significant bit first; checkpoints the bit
-    offset of each `checkpoint`-th id; verified whether decoding gave the ids back. The row
-    with block -1 (null id) holds the code lengths of all ids, compressed, so the rows are
-    complete by themselves. Null and empty texts give one empty block; repeated rows and
-    null ids are coded like others. Without any id the code is empty.
+    offset of each `checkpoint`-th id; verified whether decoding gave the ids back; code the
+    name of the code that the block is written in. The row with block -1 (null id) is that
+    code's header: the code lengths of all ids, compressed, and `checkpoint` as its only
+    checkpoint. So the rows are complete by themselves, and so are unions of several corpora.
+    Null and empty texts give one empty block; repeated rows and null ids are coded like
+    others. Without any id the code is empty. Extra columns of any name aren't read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -235,34 +238,48 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lengths = code_lengths(counts, limit)
     shared = spark.sparkContext.broadcast(lengths)
     schema = f"id {kind}, block int, n_tokens int, n_bits long, payload binary, checkpoints array<int>, verified boolean"
-    blocks, _ = store(tokens.mapInArrow(_encode(shared, block_ids, checkpoint), schema), "blocks")
+    code = hashlib.blake2b(lengths.tobytes() + f"/{checkpoint}".encode(), digest_size=8).hexdigest()
+    blocks, _ = store(tokens.mapInArrow(_encode(shared, block_ids, checkpoint), schema), "blocks")  # the result itself
     drop_stored(spark, p_tokens)
-    head = spark.createDataFrame([(None, -1, int(counts.astype(bool).sum()), int((counts * lengths).sum()), zlib.compress(lengths.tobytes()), [], True)], schema)
-    return head.unionByName(blocks).withColumnRenamed("id", id_col)
+    head = spark.createDataFrame([(None, -1, int(counts.astype(bool).sum()), int((counts * lengths).sum()), zlib.compress(lengths.tobytes()), [checkpoint], True)], schema)
+    return head.unionByName(blocks).withColumn("code", F.lit(code)).withColumnRenamed("id", id_col)
 
 
-def decode_corpus(blocks: DataFrame, id_col: str = "doc_id", checkpoint: int = CHECKPOINT) -> DataFrame:
-    """(doc_id, block, token_ids) of encode_corpus() rows, decoded from every checkpoint at once."""
+def decode_corpus(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, block, token_ids) of encode_corpus() rows, decoded from every checkpoint at once.
+
+    Each block is read by the header of its code; repeated headers (unions of a corpus with
+    itself) count once, blocks of different codes may be mixed. A block without its header is an
+    error (ValueError). Null ids and repeated rows are decoded like others; no rows give no rows.
+    """
     spark = blocks.sparkSession
     ship(spark)
-    head = blocks.where("block = -1").select("payload").first()
-    shared = spark.sparkContext.broadcast(np.frombuffer(zlib.decompress(bytes(head[0])), np.uint8))
+    heads = {r["code"]: (np.frombuffer(zlib.decompress(bytes(r["payload"])), np.uint8), r["checkpoints"][0]) for r in blocks.where("block = -1").select("code", "payload", "checkpoints").distinct().collect()}  # one row a corpus
+    lost = blocks.where("block >= 0" + (f" and (code is null or code not in ({', '.join(map(repr, heads))}))" if heads else "")).select("code").first()
+    if lost is not None:
+        raise ValueError(f"the header row (block -1) of code {lost['code']} is missing")
+    shared = spark.sparkContext.broadcast(heads)
     kind = dict(blocks.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codecs: dict[str, Codec] = {}
         for batch in batches:
-            payload = batch.column("payload")
-            raw = np.frombuffer(b"".join(payload.to_pylist()), np.uint8)
-            length = pa.compute.binary_length(payload).to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes = batch.column("n_tokens").to_numpy().astype(np.int64)
-            marks = -(-sizes // checkpoint)
-            inside = np.arange(int(marks.sum())) - np.repeat(np.cumsum(marks) - marks, marks)
-            bit = batch.column("checkpoints").flatten().to_numpy().astype(np.int64) + 8 * np.repeat(np.cumsum(length) - length, marks)
-            ids = codec.decode(raw, bit, np.minimum(np.repeat(sizes, marks) - inside * checkpoint, checkpoint))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("block"), list_array(ids, sizes, pa.int32())], ["id", "block", "token_ids"])
-
-    rows = blocks.where("block >= 0").select(F.col(id_col).alias("id"), "block", "n_tokens", "payload", "checkpoints")
+            codes = batch.column("code").dictionary_encode()
+            for k, code in enumerate(codes.dictionary.to_pylist()):
+                if code not in codecs:
+                    codecs[code] = Codec(shared.value[code][0])
+                part, checkpoint = batch.filter(pa.compute.equal(codes.indices, k)), shared.value[code][1]
+                payload = part.column("payload")
+                raw = np.frombuffer(b"".join(payload.to_pylist()), np.uint8)
+                length = pa.compute.binary_length(payload).to_numpy(zero_copy_only=False).astype(np.int64)
+                sizes = part.column("n_tokens").to_numpy().astype(np.int64)
+                marks = -(-sizes // checkpoint)
+                inside = np.arange(int(marks.sum())) - np.repeat(np.cumsum(marks) - marks, marks)
+                bit = part.column("checkpoints").flatten().to_numpy().astype(np.int64) + 8 * np.repeat(np.cumsum(length) - length, marks)
+                ids = codecs[code].decode(raw, bit, np.minimum(np.repeat(sizes, marks) - inside * checkpoint, checkpoint))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("block"), list_array(ids, sizes, pa.int32())], ["id", "block", "token_ids"])
+
+    rows = blocks.where("block >= 0").select(F.col(id_col).alias("id"), "block", "n_tokens", "payload", "checkpoints", "code")
     return rows.mapInArrow(run, f"id {kind}, block int, token_ids array<int>").withColumnRenamed("id", id_col)
 
 

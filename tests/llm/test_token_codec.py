@@ -71,7 +71,7 @@ def test_tables(spark, sf_dir, odd_docs, no_docs):
     for docs, block_ids in ((spark.read.parquet(f"{sf_dir}/documents.parquet"), 100), (odd_docs, 1000)):
         blocks = m.encode_corpus(docs, block_ids=block_ids, checkpoint=16)
         assert blocks.where("not verified").count() == 0
-        rows = m.decode_corpus(blocks, checkpoint=16).orderBy("doc_id", "block").collect()
+        rows = m.decode_corpus(blocks).orderBy("doc_id", "block").collect()
         got = {}
         for r in rows:
             got.setdefault(r.doc_id, []).extend(r.token_ids)
@@ -80,3 +80,18 @@ def test_tables(spark, sf_dir, odd_docs, no_docs):
             assert got[r.doc_id] == want * (2 if r.doc_id == 2 and block_ids == 1000 else 1)
     empty = m.encode_corpus(no_docs)
     assert [r.block for r in empty.collect()] == [-1] and m.decode_corpus(empty).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(m.VOCABULARY), reason="no vocabulary file")
+def test_blocks_describe_themselves(spark):
+    tokenizer = m.tokenizer()
+    texts = {1: "the first corpus " * 30, 2: "xylophone", 3: None}, {11: "another corpus, other counts", 12: "the the the"}
+    parts = [m.encode_corpus(spark.createDataFrame(list(t.items()), "doc_id long, text string"), checkpoint=k) for t, k in zip(texts, (4, 7), strict=True)]
+    both = parts[0].union(parts[1]).union(parts[0].where("block = -1"))
+    got = {r.doc_id: r.token_ids for r in m.decode_corpus(both).collect()}
+    assert got == {i: tokenizer.encode_ordinary(t or "") for x in texts for i, t in x.items()}
+    with pytest.raises(ValueError):
+        m.decode_corpus(parts[0].where("block >= 0"))
+    with pytest.raises(ValueError):
+        m.decode_corpus(parts[0].where("block >= 0").union(parts[1]))
+    assert m.decode_corpus(both.limit(0)).count() == 0
