@@ -23,6 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.llm.names import whole_ids
 from newsloom.llm.textarrays import U64, Words, multisets, pieces, shingles
 from newsloom.session import ship
 
@@ -158,8 +159,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rounded to 6 places. Items shorter than a shingle are searched with shingles of their
     own length; items and documents without a word (null, empty) match nothing; rows with
     a null id are left out. Repeated rows of a document or an item count as one, with the
-    largest containment. No documents or no items give no rows.
+    largest containment. No documents or no items give no rows; extra columns of any name aren't
+    read; ids that aren't whole numbers are a TypeError.
     """
+    whole_ids(docs, id_col)
+    whole_ids(benchmark, item_col)
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     found = None
@@ -170,7 +174,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows in which contaminated() finds an item; judged row by row, without a join."""
+    """docs without the rows in which contaminated() finds an item; judged row by row, without a join.
+
+    Rows with a null id and texts without a word (null, empty) stay, repeated rows go or stay
+    together; no items: all stay; no rows: none. All columns pass, whatever their names.
+    """
+    whole_ids(docs, id_col)
+    whole_ids(benchmark, item_col)
     ship(docs.sparkSession)
     for shared in _indexes(benchmark, item_col, item_text_col, shingle):
         docs = docs.mapInArrow(_keep(shared, threshold, text_col, id_col), docs.schema)
