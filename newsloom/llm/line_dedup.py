@@ -29,8 +29,8 @@ from newsloom.llm.names import fresh, whole_ids
 from newsloom.llm.textarrays import U64, _tables, mix, mix_int, pieces, string_buffers
 from newsloom.session import drop_stored, ship, store
 
-#: Shorter lines (bytes, trimmed) are left alone.
-MIN_BYTES = 24
+#: Shorter lines (bytes, trimmed) are left alone: blank ones only.
+MIN_BYTES = 1
 SHARD_KEYS = 500_000
 PROBE_BYTES = 128_000_000
 SALTS = 8
@@ -369,8 +369,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 k AS (SELECT doc_id, pos, line, trim(line, ' ' || chr(9) || chr(13)) AS key FROM l),
-o AS (SELECT key, min(doc_id) AS owner FROM k WHERE strlen(key) >= 24 GROUP BY key),
-f AS (SELECT k.*, strlen(key) >= 24 AND (o.owner <> doc_id OR row_number() OVER (PARTITION BY doc_id, k.key ORDER BY pos) > 1) AS gone FROM k LEFT JOIN o USING (key)),
+o AS (SELECT key, min(doc_id) AS owner FROM k WHERE strlen(key) >= 1 GROUP BY key),
+f AS (SELECT k.*, strlen(key) >= 1 AND (o.owner <> doc_id OR row_number() OVER (PARTITION BY doc_id, k.key ORDER BY pos) > 1) AS gone FROM k LEFT JOIN o USING (key)),
 t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept, count(*) FILTER (gone) AS dropped FROM f GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL WHEN t.dropped > 0 THEN coalesce(t.kept, '') ELSE d.text END AS text, coalesce(t.dropped, 0)::INTEGER AS dropped_lines
 FROM documents d LEFT JOIN t USING (doc_id)

@@ -7,7 +7,7 @@ from newsloom.llm import line_dedup as m
 from newsloom.llm.textarrays import mix
 
 
-def brute(rows, least=24):
+def brute(rows, least=1):
     trim = lambda line: line.strip(" \t\r")
     owner = {}
     for i, t in rows:
@@ -54,6 +54,15 @@ def test_matches_brute_force(spark, sf_dir, probe_bytes):
     assert sum(r[2] for r in got) > 0
 
 
+@pytest.mark.parametrize("probe_bytes", [m.PROBE_BYTES, 0])
+def test_counts_decide(spark, probe_bytes):
+    docs = spark.createDataFrame([(k, f"in three\nin {'two' if k < 2 else k}\n\nshort") for k in range(3)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in m.dedup_lines(docs, probe_bytes=probe_bytes, min_docs=3).collect()}
+    assert got == {0: "in three\nin two\n\nshort", 1: "in two\n", 2: "in 2\n"}
+    got = {r.doc_id: r.text for r in m.dedup_lines(docs, probe_bytes=probe_bytes, min_bytes=6).collect()}
+    assert got == {0: "in three\nin two\n\nshort", 1: "\nshort", 2: "in 2\n\nshort"}
+
+
 @pytest.mark.parametrize("probe_bytes", [m.PROBE_BYTES, 0])
 def test_odd_rows(spark, odd_docs, no_docs, probe_bytes, monkeypatch):
     monkeypatch.setattr(m, "SHARD_KEYS", 2)
