@@ -18,6 +18,7 @@ that no seed recognises are found by the company and the form they keep.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.textarrays import pieces, string_buffers
 from newsloom.session import drop_stored, ship, store
 
-ACCEPT, PATTERN, SUPPORT, UNDECIDED, ROUNDS = 0.7, 0.6, 3, 0.02, 6
+ACCEPT, PATTERN, SUPPORT, UNDECIDED = 0.7, 0.6, 3, 0.02
 
 
 def _luhn(digits: str) -> bool:
@@ -124,7 +125,12 @@ def shape(text: str) -> str:
     if re.fullmatch(r"(?=.*[0-9])(?=.*[A-Za-z])[0-9A-Za-z_-]{16,}", text):
         return f"x{len(text)}"
     out = re.sub(r"[^\W\d_]+", "a", text)
-    return re.sub(r"\d+", lambda m: "#" if len(m.group()) <= 3 else f"#{len(m.group())}", out)[:80]
+    return brief(re.sub(r"\d+", lambda m: "#" if len(m.group()) <= 3 else f"#{len(m.group())}", out), 80)
+
+
+def brief(text: str, size: int = 40) -> str:
+    """text, or for a longer one its beginning and a digest of the whole, so that different texts stay different."""
+    return text if len(text) <= size else text[: size - 20] + "~" + hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
 _TRIM_LEFT, _TRIM_RIGHT = re.compile(r"^[^\w+(]+"), re.compile(r"[^\w)]+$")
@@ -143,8 +149,11 @@ def _word(text: str) -> str:
 
 def _table(rows: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
-    kinds = [batch.column("id").type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "start", "stop", "value", "seed", "patterns"])
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
+    arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    row = arrays[0]
+    own = [batch.column("id").take(row), batch.column("doc").take(row)]
+    return pa.RecordBatch.from_arrays([*own, *arrays[1:]], ["id", "doc", "start", "stop", "value", "seed", "patterns"])
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +163,9 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mark[[64, *range(48, 58)]] = 1
     for batch in batches:
         rows: list[tuple] = []
+        below = 0
         for part in pieces(batch, "text"):
+            base, below = below, below + part.num_rows
             raw, ends = string_buffers(part.column("text"))
             if not len(raw):
                 continue
@@ -177,7 +188,6 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = raw.tobytes()
             chars = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
             text = lambda k: data[start[k] : stop[k]].decode("utf-8", "replace")  # noqa: B023, E731
-            ids = part.column("id").to_pylist()
             first_of = np.searchsorted(start, ends)
             k = 0
             while k < len(wanted):
@@ -201,8 +211,8 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     after = _word(text(b + 1)) if b + 1 < hi else "$"
                     own = shape(value)
                     coarse = re.sub(r"\d+", "", own)
-                    patterns = [f"s:{own}", f"l:{before[:40]}|{coarse}", f"m:{before2[:40]} {before[:40]}|{coarse}", f"r:{after[:40]}|{coarse}"]
-                    rows.append((ids[row], begin, begin + len(value), value, _named(value), patterns))
+                    patterns = [f"s:{own}", f"l:{brief(before)}|{coarse}", f"m:{brief(before2)} {brief(before)}|{coarse}", f"r:{brief(after)}|{coarse}"]
+                    rows.append((base + row, begin, begin + len(value), value, _named(value), patterns))
                 run = data[start[tokens[0]] : stop[tokens[-1]]].decode("utf-8", "replace")
                 origin = int(chars[start[tokens[0]]] - chars[ends[row]])
                 seen = {(r[1], r[2]) for r in rows[had:]}
@@ -217,8 +227,8 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     after = (re.findall(r"\w+", (run[y : y + 90] + " " + tail).lower()) or ["$"])[0]
                     own = shape(value)
                     coarse = re.sub(r"\d+", "", own)
-                    patterns = [f"s:{own}", f"l:{words[1][:40]}|{coarse}", f"m:{words[0][:40]} {words[1][:40]}|{coarse}", f"r:{after[:40]}|{coarse}"]
-                    rows.append((ids[row], origin + x, origin + y, value, _named(value), patterns))
+                    patterns = [f"s:{own}", f"l:{brief(words[1])}|{coarse}", f"m:{brief(words[0])} {brief(words[1])}|{coarse}", f"r:{brief(after)}|{coarse}"]
+                    rows.append((base + row, origin + x, origin + y, value, _named(value), patterns))
                 if len(rows) > 20_000:
                     yield _table(rows, batch)
                     rows = []
@@ -226,24 +236,29 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _table(rows, batch)
 
 
-def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT, pattern: float = PATTERN, support: int = SUPPORT, undecided: float = UNDECIDED, rounds: int = ROUNDS) -> DataFrame:
+def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT, pattern: float = PATTERN, support: int = SUPPORT, undecided: float = UNDECIDED, rounds: int | None = None) -> DataFrame:
     """(doc_id, start, stop, kind, value, confidence): each place of an identifier.
 
     start and stop are character positions in the text. Of overlapping findings the longest
-    stays, then the first. Null and empty texts have none; repeated rows of an id count once;
-    rows with a null id are searched too. Of more than five tokens in a row, runs of
-    over LONGEST letters and digits are candidates only as a whole. Kinds that tie go by name. No rows or no seeds give no rows.
+    stays, then the first. Null and empty texts have none; repeated rows of an id count once,
+    but texts of one id that differ are searched each by itself, and so is every row with a null
+    id. Of more than five tokens in a row, runs of over LONGEST letters and digits are candidates
+    only as a whole. Kinds that tie go by name. rounds: at most so many; without it, until no
+    instance is added. No rows or no seeds give no rows; extra columns of any name aren't read.
     """
     spark = docs.sparkSession
     ship(spark)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    picked = picked.withColumn("doc", F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text")))
     kind = picked.dtypes[0][1]
-    spans, p_spans = store(picked.mapInArrow(_spans, f"id {kind}, start int, stop int, value string, seed string, patterns array<string>"), "spans")
+    spans, p_spans = store(picked.mapInArrow(_spans, f"id {kind}, doc long, start int, stop int, value string, seed string, patterns array<string>"), "spans")
     edges, p_edges = store(spans.select(F.lower("value").alias("value"), F.explode("patterns").alias("pattern")).distinct(), "edges")
     accepted, p_accepted = store(spans.where("seed is not null").groupBy(F.lower("value").alias("value")).agg(F.min("seed").alias("kind")).withColumn("confidence", F.lit(1.0)), "accepted")
     size = accepted.count()
     total = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    for _ in range(rounds if size else 0):
+    done = 0
+    while size and (rounds is None or done < rounds):
+        done += 1
         votes = edges.join(accepted, "value").groupBy("pattern", "kind").agg(F.count("*").alias("own"))
         decided = votes.groupBy("pattern").agg(F.sum("own").alias("decided"))
         weight = F.when(F.col("pattern").startswith("s:"), F.lit(undecided)).otherwise(1.0)
@@ -260,11 +275,11 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", acc
         if (now := grown.count()) == size:
             break
         size = now
-    found = spans.withColumn("key", F.lower("value")).join(accepted.withColumnRenamed("value", "key"), "key").select("id", "start", "stop", "kind", "value", F.round("confidence", 6).alias("confidence")).distinct()
+    found = spans.withColumn("key", F.lower("value")).join(accepted.withColumnRenamed("value", "key"), "key").select("id", "doc", "start", "stop", "kind", "value", F.round("confidence", 6).alias("confidence")).distinct()
     # the longest of overlapping findings: a finding goes if a longer (or equal, earlier) one covers it
-    upto = Window.partitionBy("id").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
-    kept = found.withColumn("reach", F.max("stop").over(upto)).where("reach is null or stop > reach").drop("reach")
-    result, _ = store(kept.withColumnRenamed("id", id_col), "pii")
+    upto = Window.partitionBy("id", "doc").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
+    kept = found.withColumn("reach", F.max("stop").over(upto)).where("reach is null or stop > reach").drop("reach", "doc")
+    result, _ = store(kept.withColumnRenamed("id", id_col), "pii")  # the result itself
     drop_stored(spark, p_spans, p_edges, p_accepted)
     return result
 

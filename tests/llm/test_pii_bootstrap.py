@@ -58,7 +58,7 @@ def test_long_and_many_grouped_identifiers(spark):
     rows = [f"key {secret} end", f"pay {card} now", "1 2 3 " + "5" * 60 + " 6 7", *(f"iban number {x} end" for x in ibans), *shared]
     got = m.extract(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
     assert {(0, "secret", secret), (1, "card", card)} <= {(r.doc_id, r.kind, r.value) for r in got}
-    spans = next(m._spans(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([f"to {ibans[0]} 77 end"])], ["id", "text"])])))
+    spans = next(m._spans(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([f"to {ibans[0]} 77 end"])], ["id", "doc", "text"])])))
     assert ibans[0] in spans.column("value").to_pylist()
 
 
@@ -77,3 +77,69 @@ def test_odd_rows(spark, no_docs):
     got = sorted(((r.doc_id, r.start, r.kind, r.value) for r in m.extract(docs).collect()), key=repr)
     assert got == sorted([(1, 5, "email", "ann@mail.example.com"), (5, 3, "email", "ann@mail.example.com"), (None, 2, "ip", "10.1.2.3")], key=repr)
     assert m.extract(no_docs).count() == 0
+
+
+def scored(spans, accept=m.ACCEPT, pattern=m.PATTERN, support=m.SUPPORT, undecided=m.UNDECIDED):
+    """The rounds of extract() over (value, seed, patterns), by plain dictionaries: value -> (kind, confidence)."""
+    edges = {(v.lower(), p) for v, _, ps in spans for p in ps}
+    taken = {}
+    for v, k, _ in spans:
+        if k:
+            taken[v.lower()] = (min(k, taken.get(v.lower(), (k,))[0]), 1.0)
+    while taken:
+        fresh, rates = {}, {}
+        for p in {p for _, p in edges}:
+            values = [v for v, q in edges if q == p]
+            kinds = [taken[v][0] for v in values if v in taken]
+            weight = undecided if p.startswith("s:") else 1.0
+            for k in set(kinds):
+                rate = kinds.count(k) / (len(kinds) + weight * (len(values) - len(kinds)))
+                if kinds.count(k) >= support and rate >= pattern:
+                    rates[p, k] = rate
+        for v in {v for v, _ in edges} - taken.keys():
+            best = []
+            for k in {k for _, k in rates}:
+                doubt = 1.0
+                for u, p in edges:
+                    if u == v and (p, k) in rates:
+                        doubt *= 1 - min(rates[p, k], 1 - 1e-9)
+                if 1 - doubt >= accept:
+                    best.append((-(1 - doubt), k))
+            if best:
+                fresh[v] = (min(best)[1], -min(best)[0])
+        if not fresh:
+            break
+        taken |= fresh
+    return taken
+
+
+def test_rounds_match_brute_force(spark):
+    rng = random.Random(12)
+    texts = []
+    for k in range(40):
+        seed = f"10.0.{rng.randrange(9)}.{rng.randrange(200)}" if k % 2 else f"u{k}@x.org"
+        texts += [f"from host {seed} ok", f"from host {rng.choice('zyx')}-{rng.randrange(99)} ok", f"passport no AB-{rng.randrange(10**5):05d} seen", f"page {rng.randrange(90)} of {rng.randrange(90)}"]
+    texts += [f"passport no {n} seen" for n in ("123-45-6789", "123-45-6780", "123-45-6781", "123-45-6782", *(f"9{k}0-45-6789" for k in range(6)))] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], ["id", "doc", "text"])
+    spans = [(r["value"], r["seed"], r["patterns"]) for out in m._spans(iter([batch])) for r in out.to_pylist()]
+    for params in ({}, {"accept": 0.5, "pattern": 0.3, "support": 2}, {"undecided": 0.5}):
+        want = scored(spans, **params)
+        got = m.extract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **params).collect()
+        assert got and all(want[r.value.lower()][0] == r.kind and abs(want[r.value.lower()][1] - r.confidence) < 2e-6 for r in got)
+        covered = lambda v: any(v in r.value.lower() for r in got)
+        assert all(covered(v) for v in want)
+        assert params or len(want) >= 6 + len({v for v, k, _ in spans if k})
+
+
+def test_null_ids_texts_of_one_id_and_long_words(spark):
+    same = "mail ann@mail.example.com now"
+    rows = [(None, same), (None, same), (None, same), (1, same), (1, same), (1, "x 10.1.2.3 and bob@mail.example.com"), (2, "w" * 50 + "a ann@x.com"), (3, "w" * 50 + "b ann@x.com")]
+    got = [(r.doc_id, r.value) for r in m.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted([(None, "ann@mail.example.com")] * 3 + [(1, "ann@mail.example.com"), (1, "10.1.2.3"), (1, "bob@mail.example.com"), (2, "ann@x.com"), (3, "ann@x.com")], key=repr)
+    assert m.brief("w" * 50 + "a") != m.brief("w" * 50 + "b") and len(m.brief("w" * 999)) < 41 and m.shape("é1" * 90) != m.shape("é1" * 91)
+
+
+def test_ties_of_kinds_go_by_name(spark):
+    rows = [f"ref {v} end" for v in ("10.0.0.1", "10.0.0.2", "10.0.0.3")] + [f"ref {v} end" for v in ("a@x.org", "b@x.org", "c@x.org")] + ["ref q7 end"]
+    got = m.extract(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), pattern=0.3, accept=0.3).collect()
+    assert {r.kind for r in got if r.value == "q7"} <= {"email"}
