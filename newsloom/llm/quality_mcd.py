@@ -112,28 +112,30 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """(doc_id, grp, distance, keep) of every row; distance is the squared Mahalanobis distance.
 
     keep is false beyond `cutoff` and for texts without a word (null, empty, marks only),
-    whose distance is null. Null languages and sources are groups of their own. Repeated rows
-    and null ids are judged like others. Ties at the H-quantile are all counted as near.
-    Groups of fewer than min_group texts are judged by their language's estimate, or by
-    that of all documents. No rows give no rows.
+    whose distance is null. grp is the JSON list of the language and source whose estimate judges
+    the document, of the language alone for groups of fewer than min_group texts, and empty ([])
+    where the language has too few: too few texts have no covariance of their own. Null and
+    empty languages and sources are groups of their own. Repeated rows and null ids are judged
+    like others. Ties at the H-quantile are all counted as near. No rows give no rows; extra
+    columns of any name aren't read.
     """
     spark = docs.sparkSession
     ship(spark)
     p = len(STATISTICS)
     xs = [f"x{k}" for k in range(p)]
-    picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(F.col(id_col).alias("id"), F.to_json(F.array(F.col(lang_col).cast("string"))).alias("lang"), F.to_json(F.array(F.col(lang_col).cast("string"), F.col(source_col).cast("string"))).alias("source"), F.col(text_col).cast("string").alias("text"))
     kind = picked.dtypes[0][1]
     schema = f"id {kind}, lang string, source string, {', '.join(f'{x} double' for x in xs)}, seen double, filled boolean"
     base, p_base = store(picked.mapInArrow(_vectors, schema), "statistics")
     sizes = base.where("filled").groupBy("lang", "source").count()
     by_lang = Window.partitionBy("lang")
     place = sizes.withColumn("in_lang", F.sum("count").over(by_lang)).select(
-        "lang", "source", F.when(F.col("count") >= min_group, F.concat_ws("/", "lang", "source")).when(F.col("in_lang") >= min_group, F.concat("lang", F.lit("/*"))).otherwise(F.lit("*")).alias("grp"), (F.col("in_lang") >= min_group).alias("whole")
+        "lang", "source", F.when(F.col("count") >= min_group, F.col("source")).when(F.col("in_lang") >= min_group, F.col("lang")).otherwise(F.lit("[]")).alias("grp")
     )
     levels = base.where("filled").join(place, ["lang", "source"])
     # a language's or the whole corpus's estimate rests on all its documents, not on the small groups alone
     wanted = place.select("grp").distinct()
-    member = F.explode(F.array_distinct(F.array("grp", F.concat("lang", F.lit("/*")), F.lit("*")))).alias("grp")
+    member = F.explode(F.array_distinct(F.array("grp", "lang", F.lit("[]")))).alias("grp")
     data, p_data = store(levels.select(*xs, "seen", member).join(wanted, "grp"), "members")
     medians = data.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"c{k}") for k, x in enumerate(xs)])
     centred = data.join(medians, "grp")
@@ -198,14 +200,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     final, p_final = fit(moments(good, [F.col(x) for x in xs]), "mcd")
     far = distance(data, final, ["grp"])
     scale = quantile(far, 0.5).select("grp", (F.pow(F.lit(2.0), (F.col("edge") + 0.5) / _BIN) / _chi2_quantile(0.5, p)).alias("scale"))
-    params, p_params = store(final.join(scale, "grp"), "mcd")
-    drop_stored(spark, p_estimate, p_final, p_shrunk)
+    centres = robust.select("grp", *[f"c{k}" for k in range(p)])
+    params, p_params = store(final.drop("start").join(scale, "grp").join(centres, "grp"), "mcd")
+    drop_stored(spark, p_estimate, p_final, p_shrunk, p_robust)
     placed = base.join(place.select("lang", "source", "grp"), ["lang", "source"], "left")
-    joined = placed.join(params.drop("start"), "grp", "left").join(robust.select("grp", *[f"c{k}" for k in range(p)]), "grp", "left")
+    joined = placed.join(params, "grp", "left")
     gap = [F.col(f"c{i}") + (F.col(f"x{i}") - F.col(f"c{i}")) * F.col("seen") - F.col(f"m{i}") for i in range(p)]
     total = sum((F.col(f"p{i}_{j}") * gap[i] * gap[j] for i in range(p) for j in range(i, p)), F.lit(0.0))
     squared = F.when(F.col("filled"), F.round(total / F.col("scale"), 4))
-    return joined.select(F.col("id").alias(id_col), "grp", squared.alias("distance"), F.coalesce(squared <= cutoff, F.lit(False)).alias("keep"))
+    out = joined.select(F.col("id").alias(id_col), "grp", squared.alias("distance"), F.coalesce(squared <= cutoff, F.lit(False)).alias("keep"))
+    result, _ = store(out, "quality")  # the result itself
+    drop_stored(spark, p_base, p_params)
+    return result
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
