@@ -7,7 +7,8 @@ prefix sums of a polynomial with wrap-around, so no Python object is made a word
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,21 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
             yield batch.slice(lo, min(60_000, int(b) - lo))
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives freed memory back: it lives on and would keep its largest need."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 class Words:
     """Words of a string column: start, end (bytes), doc (row) and hash of each."""
 

@@ -8,7 +8,9 @@ minimises the class-prior-corrected risk with the logistic loss l,
 
 whose second term, the risk on negatives, can't fall below 0: while it would, the step
 goes up that term's gradient instead, which keeps a flexible model from overfitting.
-Soft thresholding keeps most weights at 0; those left are refitted without it. A feature
+Soft thresholding keeps most weights at 0; those left are refitted with a
+slight decay (less the more positives there are). Last the bias
+is lowered, where needed, until no more of the unlabelled than the prior scores above 0. A feature
 is a word or the beginning of one, known by its 64-bit hash.
 """
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.textarrays import U64, Words, list_array, pieces
+from newsloom.llm.textarrays import U64, Words, lean, list_array, pieces
 from newsloom.session import ship
 
 #: Bounds of the training sample, picked by a hash of the ids: documents labelled toxic, and any documents.
@@ -103,10 +105,15 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         part = np.where(is_p, -p_weight * s, u_weight * s)
         own = np.where(is_p, -p_weight * (1 - s), 0.0)
         d = own + part if negative_risk >= 0 else -part
+        if step >= rounds:  # few positives leave the weights uncertain: they shrink by that
+            w *= 1 - rate * prior / n_p
         w -= rate * np.bincount(at, d[row], size)
         b -= rate * d.sum()
         w = np.sign(w) * np.maximum(0, np.abs(w) - rate * penalty)
     used = w != 0
+    # no more of the unlabelled than the prior can be toxic: the highest scores are
+    g = np.sort(b + np.bincount(row, w[at], n)[~is_p])[::-1]
+    b -= max(0.0, g[min(len(g) - 1, int(prior * len(g)))])
     return Model(vocabulary[used], w[used], float(b))
 
 
@@ -140,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     us = others.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(unlabelled).distinct().select("id", F.lit(0).alias("toxic"))
     sample = ps.union(us)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("toxic", "text")  # sample: bounded above
-    rows = texts.mapInArrow(_features, "toxic int, words array<long>").toArrow()
+    rows = texts.mapInArrow(lean(_features), "toxic int, words array<long>").toArrow()
     split = {0: [], 1: []}
     for batch in rows.to_batches():
         column = batch.column("words")
@@ -184,7 +191,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = train(docs, labels, id_col, text_col, **params)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = picked.mapInArrow(_score(shared), f"id {picked.dtypes[0][1]}, score double, toxic boolean")
+    out = picked.mapInArrow(lean(_score(shared)), f"id {picked.dtypes[0][1]}, score double, toxic boolean")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -197,7 +204,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """
     model = train(docs, labels, id_col, text_col, **params)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_clean(shared, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(lean(_clean(shared, docs.columns.index(text_col))), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
