@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.names import whole_ids
-from newsloom.llm.textarrays import U64, Words, multisets, pieces, shingles
+from newsloom.llm.textarrays import U64, Words, lean, multisets, pieces, shingles
 from newsloom.session import ship
 
 SHINGLE, THRESHOLD, SHORT = 5, 0.5, 12
@@ -168,7 +168,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     found = None
     for shared in _indexes(benchmark, item_col, item_text_col, shingle):
-        hits = base.mapInArrow(_search(shared, threshold), "id long, item long, share double")
+        hits = base.mapInArrow(lean(_search(shared, threshold)), "id long, item long, share double")
         found = hits if found is None else found.union(hits)
     return found.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(F.round(F.max("share"), 6).alias("containment"))
 
@@ -183,7 +183,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     whole_ids(benchmark, item_col)
     ship(docs.sparkSession)
     for shared in _indexes(benchmark, item_col, item_text_col, shingle):
-        docs = docs.mapInArrow(_keep(shared, threshold, text_col, id_col), docs.schema)
+        docs = docs.mapInArrow(lean(_keep(shared, threshold, text_col, id_col)), docs.schema)
     return docs
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.names import fresh, whole_ids
-from newsloom.llm.textarrays import U64, _tables, mix, mix_int, pieces, string_buffers
+from newsloom.llm.textarrays import U64, _tables, lean, mix, mix_int, pieces, string_buffers
 from newsloom.session import drop_stored, ship, store
 
 #: Shorter lines (bytes, trimmed) are left alone: blank ones only.
@@ -301,14 +301,14 @@ def _deduped(docs: DataFrame, id_col: str, text_col: str, min_bytes: int, probe_
     whole_ids(docs, id_col)
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    hashes = base.mapInArrow(_hashes(min_bytes), "key long, id long")
+    hashes = base.mapInArrow(lean(_hashes(min_bytes)), "key long, id long")
     counted = hashes.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
     repeated, p_repeated = store(counted.where(F.col("n") >= min_docs).where("first < last").select("key", "n", "first"), "lines")
     many = repeated.count()
     shards = max(1, -(-many // SHARD_KEYS))
     shard = F.pmod(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(shards)).cast("long")
     placed = repeated.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", "key")
-    index, p_index = store(placed.select("shard", "key", "n", "first").mapInArrow(_build, "shard long, packed binary"), "line-index")
+    index, p_index = store(placed.select("shard", "key", "n", "first").mapInArrow(lean(_build), "shard long, packed binary"), "line-index")
     drop_stored(spark, p_repeated)
     total = index.agg(F.sum(F.length("packed"))).first()[0] or 0
     own, dropped, emptied, keys = (fresh(docs.columns, x) for x in ("own", "dropped", "emptied", "keys"))
@@ -320,16 +320,16 @@ def _deduped(docs: DataFrame, id_col: str, text_col: str, min_bytes: int, probe_
     if total <= probe_bytes:
         shared = spark.sparkContext.broadcast({r["shard"]: bytes(r["packed"]) for r in index.collect()})
         drop_stored(spark, p_index)
-        out = keyed.mapInArrow(_probe(shared, shards, min_bytes, min_docs, text, id_at), schema)
+        out = keyed.mapInArrow(lean(_probe(shared, shards, min_bytes, min_docs, text, id_at)), schema)
     else:
         none = F.lit(None)
         probes = hashes.select(shard.alias("shard"), F.pmod("id", F.lit(SALTS)).alias("salt"), none.cast("binary").alias("packed"), "key", "id")
         arrays = index.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), "packed", none.cast("long").alias("key"), none.cast("long").alias("id"))
         routed = arrays.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("packed").isNull())
-        hits = routed.select("shard", "packed", "key", "id").mapInArrow(_route(min_docs), "id long, key long")
+        hits = routed.select("shard", "packed", "key", "id").mapInArrow(lean(_route(min_docs)), "id long, key long")
         decisions = hits.groupBy(F.col("id").alias(own)).agg(F.collect_set("key").alias(keys))
         joined = keyed.join(decisions, own, "left").select(*[keyed[f"`{c}`"] for c in keyed.columns], keys)
-        out = joined.mapInArrow(_apply(min_bytes, text, id_at, id_at + 1), schema)
+        out = joined.mapInArrow(lean(_apply(min_bytes, text, id_at, id_at + 1)), schema)
     return out.toDF(*keyed.columns, dropped, emptied).drop(own), dropped, emptied
 
 

@@ -25,7 +25,7 @@ from pyspark.sql.types import DoubleType
 
 from newsloom.llm.graph import components
 from newsloom.llm.names import fresh, whole_ids
-from newsloom.llm.textarrays import U64, Words, binary_array, list_array, mix, mix_int, multisets, pieces, shingles
+from newsloom.llm.textarrays import U64, Words, binary_array, lean, list_array, mix, mix_int, multisets, pieces, shingles
 from newsloom.session import drop_stored, ship, store
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 50, 5, 0.5
@@ -250,7 +250,7 @@ def _exact(members: DataFrame, groups: DataFrame, bags: DataFrame, threshold: fl
     rows = rows.withColumn("block", F.floor(F.sum("bytes").over(upto) / BLOCK_BYTES).cast("int")).withColumn("blocks", F.max("block").over(bucket))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "blocks")))
     cells = rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "group")
-    return cells.join(bags, "id").select("cell", "side", "id", "group", "bag").repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_links(threshold), "a long, b long")
+    return cells.join(bags, "id").select("cell", "side", "id", "group", "bag").repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(lean(_links(threshold)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole_ids(docs, id_col)
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    signed, p_signed = store(base.mapInArrow(_sign(shingle, bands, rows), "id long, fp1 long, fp2 long, keys array<long>"), "signed")
+    signed, p_signed = store(base.mapInArrow(lean(_sign(shingle, bands, rows)), "id long, fp1 long, fp2 long, keys array<long>"), "signed")
     prints = signed.select("id", "fp1", "fp2")
     least = prints.groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies, p_copies = store(prints.join(least, ["fp1", "fp2"]).where("id <> rep").distinct(), "copies")
@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids, p_ids = store(open_rows.select("id").distinct(), "ids")
     many = ids.count()
     chosen = base.join(F.broadcast(ids) if many <= BROADCAST_IDS else ids, "id")
-    bags, p_bags = store(chosen.mapInArrow(_bags(shingle), "id long, bag binary"), "bags")
+    bags, p_bags = store(chosen.mapInArrow(lean(_bags(shingle)), "id long, bag binary"), "bags")
     drop_stored(spark, p_ids)
     edges = copies.select(F.col("id").alias("a"), F.col("rep").alias("b"))
     drop_stored(spark, p_signed)

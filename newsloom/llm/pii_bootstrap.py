@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.textarrays import pieces, string_buffers
+from newsloom.llm.textarrays import lean, pieces, string_buffers
 from newsloom.session import drop_stored, ship, store
 
 ACCEPT, PATTERN, SUPPORT, UNDECIDED = 0.7, 0.6, 3, 0.02
@@ -251,7 +251,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", acc
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     picked = picked.withColumn("doc", F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text")))
     kind = picked.dtypes[0][1]
-    spans, p_spans = store(picked.mapInArrow(_spans, f"id {kind}, doc long, start int, stop int, value string, seed string, patterns array<string>"), "spans")
+    spans, p_spans = store(picked.mapInArrow(lean(_spans), f"id {kind}, doc long, start int, stop int, value string, seed string, patterns array<string>"), "spans")
     edges, p_edges = store(spans.select(F.lower("value").alias("value"), F.explode("patterns").alias("pattern")).distinct(), "edges")
     accepted, p_accepted = store(spans.where("seed is not null").groupBy(F.lower("value").alias("value")).agg(F.min("seed").alias("kind")).withColumn("confidence", F.lit(1.0)), "accepted")
     size = accepted.count()

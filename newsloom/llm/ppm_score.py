@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.textarrays import U64, pieces, string_buffers
+from newsloom.llm.textarrays import U64, lean, pieces, string_buffers
 from newsloom.session import drop_stored, ship, store
 
 ORDER = 4
@@ -223,7 +223,7 @@ def _counted(docs: DataFrame, text_col: str, order: int) -> tuple[DataFrame, str
     if not 1 <= order <= 6:
         raise ValueError("order must be between 1 and 6")
     ship(docs.sparkSession)
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").mapInArrow(_count(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").mapInArrow(lean(_count(order)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return store(counts, "grams")
 
 
@@ -335,15 +335,15 @@ def _score_routed(order: int):
 def _routed(picked: DataFrame, counts: DataFrame, order: int, schema: str) -> DataFrame:
     """Scores by the table of counts: as each byte of the texts is a node of it, none escapes."""
     spark = picked.sparkSession
-    texts, p_texts = store(picked.mapInArrow(_stamp, f"id {picked.dtypes[0][1]}, text string, chunk long"), "texts")
+    texts, p_texts = store(picked.mapInArrow(lean(_stamp), f"id {picked.dtypes[0][1]}, text string, chunk long"), "texts")
     context = F.shiftrightunsigned("key", 8)
     masses = counts.groupBy(context.alias("context")).agg((F.sum("n") + F.count("*")).alias("mass"))
     costs = counts.withColumn("context", context).join(masses, "context").select("key", "n", "mass")
-    wanted = texts.where("text is not null").select("chunk", "text").mapInArrow(_chunk_keys(order), "chunk long, key long").distinct()
+    wanted = texts.where("text is not null").select("chunk", "text").mapInArrow(lean(_chunk_keys(order)), "chunk long, key long").distinct()
     nodes = wanted.join(costs, "key").select("chunk", F.lit(0).alias("side"), "key", "n", "mass", F.lit(None).cast(picked.dtypes[0][1]).alias("id"), F.lit(None).cast("string").alias("text"))
     empty = [F.lit(None).cast("long").alias(c) for c in ("key", "n", "mass")]
     both = nodes.unionByName(texts.select("chunk", F.lit(1).alias("side"), *empty, "id", "text"))
-    result, _ = store(both.repartition("chunk").sortWithinPartitions("chunk", "side", "key").mapInArrow(_score_routed(order), schema), "scores")
+    result, _ = store(both.repartition("chunk").sortWithinPartitions("chunk", "side", "key").mapInArrow(lean(_score_routed(order)), schema), "scores")
     drop_stored(spark, p_texts)
     return result
 
@@ -372,12 +372,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {picked.dtypes[0][1]}, n_bytes long, bits double, bits_per_byte double"
     if adaptive:
-        return picked.mapInArrow(_score_adaptive(order), schema).withColumnRenamed("id", id_col)
+        return picked.mapInArrow(lean(_score_adaptive(order)), schema).withColumnRenamed("id", id_col)
     counts, path = _counted(docs, text_col, order)
     if counts.count() > max_nodes:
         out = _routed(picked, counts, order, schema)
     else:
-        out = picked.mapInArrow(_score(spark.sparkContext.broadcast(Trie(*_arrays(counts), order))), schema)
+        out = picked.mapInArrow(lean(_score(spark.sparkContext.broadcast(Trie(*_arrays(counts), order)))), schema)
     drop_stored(spark, path)
     return out.withColumnRenamed("id", id_col)
 

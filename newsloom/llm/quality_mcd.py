@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.textarrays import Words, pieces, string_buffers
+from newsloom.llm.textarrays import Words, lean, pieces, string_buffers
 from newsloom.session import drop_stored, ship, store
 
 STATISTICS = ("word_length", "upper", "marks", "spaces", "repeats")
@@ -126,7 +126,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     picked = docs.select(F.col(id_col).alias("id"), F.to_json(F.array(F.col(lang_col).cast("string"))).alias("lang"), F.to_json(F.array(F.col(lang_col).cast("string"), F.col(source_col).cast("string"))).alias("source"), F.col(text_col).cast("string").alias("text"))
     kind = picked.dtypes[0][1]
     schema = f"id {kind}, lang string, source string, {', '.join(f'{x} double' for x in xs)}, seen double, filled boolean"
-    base, p_base = store(picked.mapInArrow(_vectors, schema), "statistics")
+    base, p_base = store(picked.mapInArrow(lean(_vectors), schema), "statistics")
     sizes = base.where("filled").groupBy("lang", "source").count()
     by_lang = Window.partitionBy("lang")
     place = sizes.withColumn("in_lang", F.sum("count").over(by_lang)).select(

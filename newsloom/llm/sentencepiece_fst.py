@@ -33,13 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.textarrays import U64, list_array, pieces, string_buffers
+from newsloom.llm.textarrays import U64, lean, list_array, pieces, string_buffers
 from newsloom.session import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Text (bytes) whose runs are encoded together.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Runs and their ids that a worker keeps from chunk to chunk.
 MEMO_BYTES = 8 << 20
 #: Arc weights that a worker keeps; beyond it they are computed anew.
@@ -485,7 +485,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for part, _, ids, n, back in _encoded(model, 1)(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), ids, n, back], ["id", "token_ids", "n_tokens", "decoded"])
 
-    return picked.mapInArrow(run, f"id {picked.dtypes[0][1]}, token_ids array<int>, n_tokens int, decoded string").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(lean(run), f"id {picked.dtypes[0][1]}, token_ids array<int>, n_tokens int, decoded string").withColumnRenamed("id", id_col)
 
 
 def add_tokens(docs: DataFrame, text_col: str = "text", model_path: str = MODEL) -> DataFrame:
@@ -504,7 +504,7 @@ def add_tokens(docs: DataFrame, text_col: str = "text", model_path: str = MODEL)
             yield pa.RecordBatch.from_arrays([*part.columns, ids, n, same], [*part.schema.names, "token_ids", "n_tokens", "lossless"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + ", token_ids array<int>, n_tokens int, lossless boolean"
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def decode(tokens: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded", model_path: str = MODEL) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.textarrays import U64, binary_array, list_array
+from newsloom.llm.textarrays import U64, binary_array, lean, list_array
 from newsloom.session import drop_stored, ship, store
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -230,8 +230,8 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("ids of more than 16 bits are not stored")
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = picked.dtypes[0][1]
-    tokens, p_tokens = store(picked.mapInArrow(_tokenize(ranks), f"id {kind}, ids binary"), "tokens")
-    counted = tokens.select("ids").mapInArrow(_count(size), "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # one row an id of the vocabulary
+    tokens, p_tokens = store(picked.mapInArrow(lean(_tokenize(ranks)), f"id {kind}, ids binary"), "tokens")
+    counted = tokens.select("ids").mapInArrow(lean(_count(size)), "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # one row an id of the vocabulary
     counts = np.zeros(size, np.int64)
     for row in counted:
         counts[row["token"]] = row["n"]
@@ -239,7 +239,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = spark.sparkContext.broadcast(lengths)
     schema = f"id {kind}, block int, n_tokens int, n_bits long, payload binary, checkpoints array<int>, verified boolean"
     code = hashlib.blake2b(lengths.tobytes() + f"/{checkpoint}".encode(), digest_size=8).hexdigest()
-    blocks, _ = store(tokens.mapInArrow(_encode(shared, block_ids, checkpoint), schema), "blocks")  # the result itself
+    blocks, _ = store(tokens.mapInArrow(lean(_encode(shared, block_ids, checkpoint)), schema), "blocks")  # the result itself
     drop_stored(spark, p_tokens)
     head = spark.createDataFrame([(None, -1, int(counts.astype(bool).sum()), int((counts * lengths).sum()), zlib.compress(lengths.tobytes()), [checkpoint], True)], schema)
     return head.unionByName(blocks).withColumn("code", F.lit(code)).withColumnRenamed("id", id_col)
@@ -280,7 +280,7 @@ def decode_corpus(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("block"), list_array(ids, sizes, pa.int32())], ["id", "block", "token_ids"])
 
     rows = blocks.where("block >= 0").select(F.col(id_col).alias("id"), "block", "n_tokens", "payload", "checkpoints", "code")
-    return rows.mapInArrow(run, f"id {kind}, block int, token_ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {kind}, block int, token_ids array<int>").withColumnRenamed("id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

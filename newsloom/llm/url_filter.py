@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.textarrays import U64, string_buffers
+from newsloom.llm.textarrays import U64, lean, string_buffers
 from newsloom.session import ship
 
 #: (rule, glob over the canonical URL, whether it blocks); `*` any bytes, `?` one byte.
@@ -159,7 +159,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     ship(pages.sparkSession)
     picked = pages.select(F.col(id_col).alias("id"), canonical(F.col(url_col)).alias("canonical"))
-    out = picked.mapInArrow(_filter(tuple(rules)), f"id {picked.dtypes[0][1]}, canonical string, rules string, blocked boolean")
+    out = picked.mapInArrow(lean(_filter(tuple(rules))), f"id {picked.dtypes[0][1]}, canonical string, rules string, blocked boolean")
     return out.withColumnsRenamed({"id": id_col, "canonical": "canonical_url"})
 
 
