@@ -42,53 +42,87 @@ def claim(jobs: DataFrame, chosen: DataFrame, worker: str, now: Column) -> DataF
     mine = F.col("__mine").isNotNull()
     return jobs.join(chosen.select("id", F.lit(True).alias("__mine")), "id", "left").withColumns({
         "status": F.when(mine, "running").otherwise(F.col("status")), "locked_at": F.when(mine, now).otherwise(F.col("locked_at")),
-        "locked_by": F.when(mine, worker), "attempts": F.col("attempts") + F.when(mine, 1).otherwise(0),
+        "locked_by": F.when(mine, worker).otherwise(F.col("locked_by")), "attempts": F.col("attempts") + F.when(mine, 1).otherwise(0),
     }).drop("__mine")
 
 
-def complete(jobs: DataFrame, now: Column) -> DataFrame:
-    """Running jobs succeed; one asked for anew since its revision was read is queued again at once."""
+def _released(running: Column) -> dict[str, Column]:
+    return {c: F.when(~running, F.col(c)) for c in ("locked_at", "locked_by")}
+
+
+def complete(jobs: DataFrame, processed: Column, now: Column) -> DataFrame:
+    """Running jobs succeed at the revision `processed`; one asked for anew since that revision
+    was read is queued again at once, with fresh attempts. Lock and error are cleared."""
     running = F.col("status") == "running"
-    again = running & (F.col("requested") > F.col("completed"))
+    again = running & (F.col("requested") > processed)
     return jobs.withColumns({
         "status": F.when(again, "queued").when(running, "succeeded").otherwise(F.col("status")), "attempts": F.when(again, 0).otherwise(F.col("attempts")),
-        "run_after": F.when(again, now).otherwise(F.col("run_after")), "locked_at": F.when(~running, F.col("locked_at")),
+        "run_after": F.when(again, now).otherwise(F.col("run_after")), "completed": F.when(running, processed).otherwise(F.col("completed")),
+        "last_error": F.when(~running, F.col("last_error")), **_released(running),
     })
 
 
-def fail(jobs: DataFrame, error: Column, now: Column) -> DataFrame:
-    """Running jobs wait for a retry, or fail for good without attempts left; a newer revision
-    queues them at once; a blank message becomes UnknownError."""
+def fail(jobs: DataFrame, processed: Column, error: Column, now: Column) -> DataFrame:
+    """Running jobs wait for a retry, or fail for good without attempts left; one asked for anew
+    since revision `processed` is queued at once; a blank message becomes UnknownError."""
     running = F.col("status") == "running"
-    again = running & (F.col("requested") > F.col("completed"))
+    again = running & (F.col("requested") > processed)
     spent = running & (F.col("attempts") >= F.col("max_attempts"))
-    text = F.when(error.isNull() | (F.trim(error) == ""), "UnknownError").otherwise(error)
+    text = F.when(error.isNull() | (F.trim(error) == ""), "UnknownError").otherwise(F.trim(error))
     return jobs.withColumns({
-        "status": F.when(again, "queued").when(spent, "failed").when(running, "queued").otherwise(F.col("status")), "last_error": F.when(running, text),
+        "status": F.when(again, "queued").when(spent, "failed").when(running, "queued").otherwise(F.col("status")), "last_error": F.when(running, text).otherwise(F.col("last_error")),
         "run_after": F.when(again, now).when(running & ~spent, now + retry_delay(F.col("attempts"))).otherwise(F.col("run_after")),
-        "attempts": F.when(again, 0).otherwise(F.col("attempts")), "locked_at": F.when(~running, F.col("locked_at")),
+        "attempts": F.when(again, 0).otherwise(F.col("attempts")), **_released(running),
     })
 
 
-def defer(jobs: DataFrame, until: Column) -> DataFrame:
-    """Running jobs are put off without losing the attempt; others stay."""
+def defer(jobs: DataFrame, until: Column, reason: Column) -> DataFrame:
+    """Running jobs are put off without losing the attempt, the reason noted; others stay."""
     running = F.col("status") == "running"
     return jobs.withColumns({
         "status": F.when(running, "queued").otherwise(F.col("status")), "attempts": F.when(running, F.greatest(F.lit(0), F.col("attempts") - 1)).otherwise(F.col("attempts")),
-        "run_after": F.when(running, until).otherwise(F.col("run_after")), "locked_at": F.when(~running, F.col("locked_at")),
+        "run_after": F.when(running, until).otherwise(F.col("run_after")), "last_error": F.when(running, reason).otherwise(F.col("last_error")), **_released(running),
     })
 
 
-def request_revision(jobs: DataFrame, now: Column) -> DataFrame:
-    """A further revision is asked for: running and queued jobs keep their status, others are
-    queued; attempts start again unless the job runs."""
-    running, waiting = F.col("status") == "running", F.col("status").isin("running", "queued")
+def request_revision(jobs: DataFrame, run_after: Column) -> DataFrame:
+    """A further revision is asked for, due at run_after: running and queued jobs keep their
+    status, others are queued; attempts and lock start again unless the job runs."""
+    running = F.col("status") == "running"
     return jobs.withColumns({
-        "status": F.when(waiting, F.col("status")).otherwise("queued"), "requested": F.col("requested") + 1,
-        "attempts": F.when(running, F.col("attempts")).otherwise(0), "run_after": F.when(waiting, F.col("run_after")).otherwise(now),
+        "status": F.when(running, "running").otherwise("queued"), "requested": F.col("requested") + 1,
+        "attempts": F.when(running, F.col("attempts")).otherwise(0), "run_after": run_after, "last_error": F.lit(None).cast("string"), **_released(~running),
     })
 
 
+#: What enqueueing does to a job that is there already: nothing, or queue it anew if it failed,
+#: if it failed or succeeded, or ask for a further revision whatever its state.
+POLICIES = {"keep": (), "failed": ("failed",), "finished": ("failed", "succeeded"), "revision": None}
+
+
+def enqueued(jobs: DataFrame, wanted: DataFrame, policy: str, run_after: Column, now: Column, max_attempts: int = 3, priority: int = 0) -> DataFrame:
+    """The table of jobs after enqueueing each distinct wanted (id, job_type, article_id).
+
+    A job that isn't there is inserted, queued, with the wanted id; one that is there is treated
+    by the policy. Repeated wanted rows count once (the least id).
+    """
+    states = POLICIES[policy]
+    keys = ["job_type", "article_id"]
+    asked = wanted.groupBy(*keys).agg(F.min("id").alias("id"))
+    there = jobs.join(asked.select(*keys), keys, "left_semi")
+    rest = jobs.join(asked.select(*keys), keys, "left_anti")
+    if states is None:
+        changed = request_revision(there, run_after)
+    else:
+        hit = F.col("status").isin(*states) if states else F.lit(False)
+        fresh = {"status": F.lit("queued"), "attempts": F.lit(0), "run_after": run_after, "locked_at": F.lit(None), "locked_by": F.lit(None), "last_error": F.lit(None), "max_attempts": F.lit(max_attempts)}
+        changed = there.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in fresh.items()})
+    values = {"status": F.lit("queued"), "priority": F.lit(priority), "attempts": F.lit(0), "max_attempts": F.lit(max_attempts), "run_after": run_after, "requested": F.lit(1), "completed": F.lit(0), "created_at": now}
+    new = asked.join(jobs.select(*keys).distinct(), keys, "left_anti")
+    inserted = new.select(*[F.col(c) if c in ("id", *keys) else values.get(c, F.lit(None)).cast(t).alias(c) for c, t in jobs.dtypes])
+    return rest.unionByName(changed).unionByName(inserted)
+
+
 def enqueue(jobs: DataFrame, wanted: DataFrame, requeue_failed: bool = True) -> DataFrame:
     """Outcome of a bulk enqueue for each wanted (job_type, article_id): inserted, requeued or existing."""
     there = jobs.groupBy("job_type", "article_id").agg(F.bool_or(F.col("status") == "failed").alias("failed"))

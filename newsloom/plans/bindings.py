@@ -112,6 +112,7 @@ class Tables:
             key.alias("id"), F.col("event_type").alias("job_type"), F.col("user_id").alias("article_id"), status.alias("status"), (key % 2 * 10).cast("int").alias("priority"),
             (key % 4).cast("int").alias("attempts"), F.lit(3).alias("max_attempts"), F.expr("ts + make_dt_interval(cast(event_id % 3 as int))").alias("run_after"),
             F.when(key % 5 == 1, F.col("ts")).alias("locked_at"), (key % 3).cast("int").alias("requested"), (key % 2).cast("int").alias("completed"), F.col("ts").alias("created_at"),
+            F.when(key % 5 == 1, F.concat(F.lit("w"), key % 3)).alias("locked_by"), F.when(key % 5 == 3, F.concat(F.lit("boom "), key % 7)).alias("last_error"),
         )
 
 
@@ -143,7 +144,8 @@ CTES = {
     "views": "SELECT user_id AS case_id, ts::DATE AS counter_date, count(*) AS view_count FROM events WHERE event_type = 'view' GROUP BY ALL",
     "jobs": """SELECT event_id AS id, event_type AS job_type, user_id AS article_id, string_split('queued running succeeded failed blocked', ' ')[(event_id % 5 + 1)::INTEGER] AS status,
  (event_id % 2 * 10)::INTEGER AS priority, (event_id % 4)::INTEGER AS attempts, 3 AS max_attempts, ts + to_days((event_id % 3)::INTEGER) AS run_after,
- CASE WHEN event_id % 5 = 1 THEN ts END AS locked_at, (event_id % 3)::INTEGER AS requested, (event_id % 2)::INTEGER AS completed, ts AS created_at FROM events""",
+ CASE WHEN event_id % 5 = 1 THEN ts END AS locked_at, (event_id % 3)::INTEGER AS requested, (event_id % 2)::INTEGER AS completed, ts AS created_at,
+ CASE WHEN event_id % 5 = 1 THEN 'w' || (event_id % 3) END AS locked_by, CASE WHEN event_id % 5 = 3 THEN 'boom ' || (event_id % 7) END AS last_error FROM events""",
 }
 _NEEDS = {"cases": ("case_articles", "articles")}
 

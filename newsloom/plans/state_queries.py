@@ -173,31 +173,79 @@ def case_merge_status(spark, sf_dir):
 
 _JOB = "SELECT id, {0} FROM jobs"
 _RUN = "status = 'running'"
-_AGAIN = "(status = 'running' AND requested > completed)"
+_AGAIN = "(status = 'running' AND requested > requested - id % 2)"
 _DELAY = "to_minutes(CASE WHEN attempts <= 1 THEN 1 WHEN attempts = 2 THEN 5 ELSE 15 END)"
+_FREE = f"CASE WHEN {_RUN} THEN NULL ELSE locked_at END AS locked_at, CASE WHEN {_RUN} THEN NULL ELSE locked_by END AS locked_by"
+_LOCK = ["locked_at", "locked_by", "last_error"]
 
 
-@register("job_complete", sql("jobs", _JOB.format(f"CASE WHEN {_AGAIN} THEN 'queued' WHEN {_RUN} THEN 'succeeded' ELSE status END AS status, CASE WHEN {_AGAIN} THEN 0 ELSE attempts END AS attempts, CASE WHEN {_AGAIN} THEN {_NOW} ELSE run_after END AS run_after")))
+def _processed():
+    """The revision that a worker read: every other job was asked for anew meanwhile."""
+    return (F.col("requested") - F.col("id") % 2).cast("int")
+
+
+@register("job_complete", sql("jobs", _JOB.format(f"CASE WHEN {_AGAIN} THEN 'queued' WHEN {_RUN} THEN 'succeeded' ELSE status END AS status, CASE WHEN {_AGAIN} THEN 0 ELSE attempts END AS attempts, CASE WHEN {_AGAIN} THEN {_NOW} ELSE run_after END AS run_after, CASE WHEN {_RUN} THEN (requested - id % 2)::INTEGER ELSE completed END AS completed, {_FREE}, CASE WHEN {_RUN} THEN NULL ELSE last_error END AS last_error")))
 def job_complete(spark, sf_dir):
-    return jobs.complete(Tables(spark, sf_dir).jobs, ts(JOBS_NOW)).select("id", "status", "attempts", "run_after")
+    return jobs.complete(Tables(spark, sf_dir).jobs, _processed(), ts(JOBS_NOW)).select("id", "status", "attempts", "run_after", "completed", *_LOCK)
+
+
+@register("job_complete_settles", sql("jobs", f"SELECT id, status, completed = requested AS settled FROM (SELECT id, completed, requested, CASE WHEN {_RUN} THEN 'succeeded' ELSE status END AS status FROM (SELECT * REPLACE (CASE WHEN {_RUN} THEN requested ELSE completed END AS completed) FROM jobs))"))
+def job_complete_settles(spark, sf_dir):
+    """Running jobs completed at the revision asked for, twice in turn: the first run has the older revision."""
+    once = jobs.complete(Tables(spark, sf_dir).jobs, F.col("requested") - 1, ts(JOBS_NOW))
+    again = once.withColumn("status", F.when((F.col("status") == "queued") & (F.col("completed") == F.col("requested") - 1) & (F.col("run_after") == ts(JOBS_NOW)) & (F.col("id") % 5 == 1), "running").otherwise(F.col("status")))
+    return jobs.complete(again, F.col("requested"), ts(JOBS_NOW)).select("id", "status", (F.col("completed") == F.col("requested")).alias("settled"))
 
 
 @register("job_fail", sql("jobs", _JOB.format(f"""CASE WHEN {_AGAIN} THEN 'queued' WHEN {_RUN} AND attempts >= max_attempts THEN 'failed' WHEN {_RUN} THEN 'queued' ELSE status END AS status,
- CASE WHEN {_RUN} THEN CASE WHEN id % 2 = 0 THEN 'UnknownError' ELSE 'timeout' END END AS last_error, CASE WHEN {_AGAIN} THEN 0 ELSE attempts END AS attempts,
+ CASE WHEN {_RUN} THEN CASE WHEN id % 3 = 0 THEN 'UnknownError' ELSE 'timeout' END ELSE last_error END AS last_error, CASE WHEN {_AGAIN} THEN 0 ELSE attempts END AS attempts, {_FREE},
  CASE WHEN {_AGAIN} THEN {_NOW} WHEN {_RUN} AND attempts < max_attempts THEN {_NOW} + {_DELAY} ELSE run_after END AS run_after""")))
 def job_fail(spark, sf_dir):
-    error = F.when(F.col("id") % 2 == 0, " ").otherwise("timeout")
-    return jobs.fail(Tables(spark, sf_dir).jobs, error, ts(JOBS_NOW)).select("id", "status", "last_error", "attempts", "run_after")
+    error = F.when(F.col("id") % 3 == 0, " ").otherwise("timeout")
+    return jobs.fail(Tables(spark, sf_dir).jobs, _processed(), error, ts(JOBS_NOW)).select("id", "status", "attempts", "run_after", *_LOCK)
 
 
-@register("job_defer", sql("jobs", _JOB.format(f"CASE WHEN {_RUN} THEN 'queued' ELSE status END AS status, CASE WHEN {_RUN} THEN greatest(0, attempts - 1) ELSE attempts END AS attempts, CASE WHEN {_RUN} THEN {_NOW} + INTERVAL 1 HOUR ELSE run_after END AS run_after")))
+@register("job_defer", sql("jobs", _JOB.format(f"CASE WHEN {_RUN} THEN 'queued' ELSE status END AS status, CASE WHEN {_RUN} THEN greatest(0, attempts - 1) ELSE attempts END AS attempts, CASE WHEN {_RUN} THEN {_NOW} + INTERVAL 1 HOUR ELSE run_after END AS run_after, {_FREE}, CASE WHEN {_RUN} THEN 'cooldown' ELSE last_error END AS last_error")))
 def job_defer(spark, sf_dir):
-    return jobs.defer(Tables(spark, sf_dir).jobs, ts(JOBS_NOW) + F.expr("interval 1 hour")).select("id", "status", "attempts", "run_after")
+    return jobs.defer(Tables(spark, sf_dir).jobs, ts(JOBS_NOW) + F.expr("interval 1 hour"), F.lit("cooldown")).select("id", "status", "attempts", "run_after", *_LOCK)
 
 
-@register("job_revision_request", sql("jobs", _JOB.format(f"CASE WHEN status IN ('running', 'queued') THEN status ELSE 'queued' END AS status, requested + 1 AS requested, CASE WHEN {_RUN} THEN attempts ELSE 0 END AS attempts, CASE WHEN status IN ('running', 'queued') THEN run_after ELSE {_NOW} END AS run_after")))
+@register("job_revision_request", sql("jobs", _JOB.format(f"CASE WHEN {_RUN} THEN 'running' ELSE 'queued' END AS status, requested + 1 AS requested, CASE WHEN {_RUN} THEN attempts ELSE 0 END AS attempts, {_NOW} AS run_after, CASE WHEN {_RUN} THEN locked_at END AS locked_at, CASE WHEN {_RUN} THEN locked_by END AS locked_by, NULL::VARCHAR AS last_error")))
 def job_revision_request(spark, sf_dir):
-    return jobs.request_revision(Tables(spark, sf_dir).jobs, ts(JOBS_NOW)).select("id", "status", "requested", "attempts", "run_after")
+    return jobs.request_revision(Tables(spark, sf_dir).jobs, ts(JOBS_NOW)).select("id", "status", "requested", "attempts", "run_after", *_LOCK)
+
+
+_WANTED = "SELECT 1000000000 + o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'view' ELSE 'click' END AS job_type, o_custkey AS article_id FROM orders WHERE o_orderkey % 7 = 0"
+_KEPT = "id, job_type, article_id, status, priority, attempts, max_attempts, run_after, requested, locked_at, locked_by, last_error"
+
+
+def _enqueued_sql(changed: str) -> str:
+    """changed: what is selected of jobs that are there and wanted."""
+    return sql("jobs", f"""SELECT {_KEPT} FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.job_type = j.job_type AND w.article_id = j.article_id)
+ UNION ALL SELECT {changed} FROM jobs j WHERE EXISTS (SELECT 1 FROM w WHERE w.job_type = j.job_type AND w.article_id = j.article_id)
+ UNION ALL SELECT min(id), job_type, article_id, 'queued', 5, 0, 4, {_NOW}, 1, NULL, NULL, NULL FROM w WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE w.job_type = j.job_type AND w.article_id = j.article_id) GROUP BY job_type, article_id""", f"w AS ({_WANTED})")
+
+
+def _requeued(states: str) -> str:
+    hit = f"status IN ({states})"
+    return f"id, job_type, article_id, CASE WHEN {hit} THEN 'queued' ELSE status END, priority, CASE WHEN {hit} THEN 0 ELSE attempts END, CASE WHEN {hit} THEN 4 ELSE max_attempts END, CASE WHEN {hit} THEN {_NOW} ELSE run_after END, requested, CASE WHEN NOT {hit} THEN locked_at END, CASE WHEN NOT {hit} THEN locked_by END, CASE WHEN NOT {hit} THEN last_error END"
+
+
+def _enqueue_query(policy: str):
+    def query(spark, sf_dir):
+        t = Tables(spark, sf_dir)
+        key = F.col("o_orderkey")
+        wanted = t.raw("orders").where(key % 7 == 0).select((key + 1000000000).alias("id"), F.when(key % 2 == 0, "view").otherwise("click").alias("job_type"), F.col("o_custkey").alias("article_id"))
+        return jobs.enqueued(t.jobs, wanted, policy, ts(JOBS_NOW), ts(JOBS_NOW), max_attempts=4, priority=5).select(*_KEPT.split(", "))
+
+    return query
+
+
+for _policy, _changed in {
+    "keep": _KEPT, "failed": _requeued("'failed'"), "finished": _requeued("'failed', 'succeeded'"),
+    "revision": f"id, job_type, article_id, CASE WHEN {_RUN} THEN 'running' ELSE 'queued' END, priority, CASE WHEN {_RUN} THEN attempts ELSE 0 END, max_attempts, {_NOW}, requested + 1, CASE WHEN {_RUN} THEN locked_at END, CASE WHEN {_RUN} THEN locked_by END, NULL",
+}.items():
+    register(f"job_enqueued_{_policy}", _enqueued_sql(_changed))(_enqueue_query(_policy))
 
 
 _ELIGIBLE = f"attempts < max_attempts AND ((status = 'queued' AND (run_after IS NULL OR run_after <= {_NOW})) OR (status = 'running' AND locked_at <= {_NOW} - INTERVAL 30 MINUTE))"
@@ -217,11 +265,11 @@ def job_claim_round_robin(spark, sf_dir):
     return jobs.claim_round_robin(t.jobs, t.articles, ts(JOBS_NOW), ["view", "click", "purchase"], 50).select("id", "job_type", "turn", "type_rank")
 
 
-@register("job_claimed", sql("articles jobs", f"SELECT id, CASE WHEN m.k IS NOT NULL THEN 'running' ELSE status END AS status, (attempts + (m.k IS NOT NULL)::INTEGER)::INTEGER AS attempts, CASE WHEN m.k IS NOT NULL THEN {_NOW} ELSE locked_at END AS locked_at FROM jobs LEFT JOIN m ON m.k = id",
+@register("job_claimed", sql("articles jobs", f"SELECT id, CASE WHEN m.k IS NOT NULL THEN 'running' ELSE status END AS status, (attempts + (m.k IS NOT NULL)::INTEGER)::INTEGER AS attempts, CASE WHEN m.k IS NOT NULL THEN {_NOW} ELSE locked_at END AS locked_at, CASE WHEN m.k IS NOT NULL THEN 'w9' ELSE locked_by END AS locked_by FROM jobs LEFT JOIN m ON m.k = id",
  f"m AS (SELECT j.id AS k FROM jobs j LEFT JOIN articles a ON a.id = j.article_id WHERE {_ELIGIBLE.replace('attempts <', 'j.attempts <')} ORDER BY {_CLAIM} LIMIT 50)"))
 def job_claimed(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return jobs.claim(t.jobs, jobs.claim_order(t.jobs, t.articles, ts(JOBS_NOW), 50), "w1", ts(JOBS_NOW)).select("id", "status", "attempts", "locked_at")
+    return jobs.claim(t.jobs, jobs.claim_order(t.jobs, t.articles, ts(JOBS_NOW), 50), "w9", ts(JOBS_NOW)).select("id", "status", "attempts", "locked_at", "locked_by")
 
 
 @register("job_enqueue", sql("jobs", "SELECT job_type, w.article_id, CASE WHEN j.article_id IS NULL THEN 'inserted' WHEN j.failed THEN 'requeued' ELSE 'existing' END AS outcome FROM (SELECT DISTINCT 'view' AS job_type, o_orderkey AS article_id FROM orders WHERE o_orderkey % 7 = 0) w LEFT JOIN (SELECT job_type, article_id, bool_or(status = 'failed') AS failed FROM jobs GROUP BY ALL) j USING (job_type, article_id)"))
