@@ -29,6 +29,17 @@ def case_counts(case_articles: DataFrame, articles: DataFrame) -> DataFrame:
     return dated.groupBy("case_id").agg(F.count("*").alias("article_count"), F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"))
 
 
+def create_cases(cases: DataFrame, cards: DataFrame, articles: DataFrame, now: Column) -> DataFrame:
+    """cases and a new active one for each card (id, article_id, title): titled by the card, without
+    a summary, of one article and revision 1, last updated when the article was published. Cards
+    whose case id is taken are left out, a repeated id counts once (the least article)."""
+    one = cards.groupBy("id").agg(F.min_by(F.struct("article_id", "title"), "article_id").alias("card")).select("id", "card.*")
+    dated = one.join(cases.select("id"), "id", "left_anti").join(articles.select(F.col("id").alias("article_id"), "published_at"), "article_id", "left")
+    values = {"title": F.col("title"), "status": F.lit("active"), "article_count": F.lit(1), "revision": F.lit(1), "created_at": now, "last_updated_at": F.coalesce("published_at", now)}
+    new = dated.select(*[(F.col("id") if c == "id" else values.get(c, F.lit(None))).cast(t).alias(c) for c, t in cases.dtypes])
+    return cases.unionByName(new)
+
+
 def add_links(cases: DataFrame, links: DataFrame, new: DataFrame, articles: DataFrame) -> DataFrame:
     """Counters of cases after new links: each link not there before adds one article and one
     revision, and moves last_updated_at forward, never back."""

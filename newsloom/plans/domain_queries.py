@@ -95,10 +95,10 @@ def section_links(spark, sf_dir):
     return found.groupBy(F.regexp_extract("page_url", "site([0-9]+)", 1).cast("long").alias("page_id")).agg(F.array_join(held, " ").alias("links"))
 
 
-@register("sitemap_links", "SELECT o_orderkey, 'https://n.example/' || o_orderkey AS href, o_orderdate AS moment FROM orders WHERE o_orderkey < 500")
+@register("sitemap_links", "SELECT o_orderkey, 'https://n.example/' || o_orderkey AS href, o_orderdate AS moment FROM orders")
 def sitemap_links(spark, sf_dir):
     entry = F.concat(F.lit("<url><loc>https://n.example/"), "o_orderkey", F.lit("</loc><lastmod>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</lastmod></url>"))
-    bodies = Tables(spark, sf_dir).raw("orders").where("o_orderkey < 500").groupBy((F.col("o_orderkey") % 10).alias("g")).agg(F.array_join(F.collect_list(entry), "").alias("x"))
+    bodies = Tables(spark, sf_dir).raw("orders").groupBy(F.expr("o_orderkey div 1000").alias("g")).agg(F.array_join(F.collect_list(entry), "").alias("x"))
     pages = bodies.select(F.concat(F.lit("https://n.example/map"), "g").alias("url"), F.lit("sitemap").alias("method"), F.concat(F.lit("<urlset xmlns='urn:any'>"), "x", F.lit("</urlset>")).cast("binary").alias("content"))
     found = feeds.links(pages)
     return found.select(F.regexp_extract("href", "([0-9]+)$", 1).cast("long").alias("o_orderkey"), "href", feeds.stamps(F.col("stamp")).alias("moment"))
@@ -254,10 +254,10 @@ def knn_hydrated(spark, sf_dir):
     return knn.hydrate(knn.search(*_vectors(t), limit=6), live).select("query_id", "id", "place", "label")
 
 
-@register("vectors_normalized", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) / list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) AS norm FROM embeddings")
+@register("vectors_normalized", "SELECT vec_id, round(embedding[1]::DOUBLE / n, 6) AS head, round(embedding[len(embedding)]::DOUBLE / n, 6) AS tail FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)")
 def vectors_normalized(spark, sf_dir):
-    unit = knn.normalized(F.col("embedding"))
-    return Tables(spark, sf_dir).raw("embeddings").select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+    unit = Tables(spark, sf_dir).raw("embeddings").select("vec_id", knn.normalized(F.col("embedding")).alias("unit"))
+    return unit.select("vec_id", F.round(F.element_at("unit", 1).cast("double"), 6).alias("head"), F.round(F.element_at("unit", -1).cast("double"), 6).alias("tail"))
 
 
 _TEXT_FIELDS = "noise nexus core anchor continuation theme story new_core broad case_core shared title reason durable new_name entity_type existing_id rejection evidence conflict new_title date_evidence".split()

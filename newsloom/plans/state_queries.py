@@ -171,6 +171,15 @@ def case_merge_status(spark, sf_dir):
     return materialize.merge_cases(t.cases, _pairs(t).select("survivor", "absorbed")).select("id", "status", "merged_into", "revision")
 
 
+@register("cases_created", sql("articles cases", f"SELECT id, title, summary, status, article_count, revision, last_updated_at FROM cases UNION ALL SELECT o_orderkey + 500000000, 'Card ' || o_orderkey, NULL, 'active', 1, 1, coalesce(a.published_at, {_NOW}) FROM orders LEFT JOIN articles a ON a.id = o_orderkey WHERE o_orderkey % 9 = 0"))
+def cases_created(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    key = F.col("o_orderkey")
+    cards = t.raw("orders").where(key % 9 == 0).select((key + 500000000).alias("id"), key.alias("article_id"), F.concat(F.lit("Card "), key).alias("title"))
+    cards = cards.union(t.cases.where("id % 10 = 0").select("id", F.lit(1).cast("long"), F.lit("taken")))
+    return materialize.create_cases(t.cases, cards, t.articles, ts(JOBS_NOW)).select("id", "title", "summary", "status", "article_count", "revision", "last_updated_at")
+
+
 _JOB = "SELECT id, {0} FROM jobs"
 _RUN = "status = 'running'"
 _AGAIN = "(status = 'running' AND requested > requested - id % 2)"

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates, urls
+from newsloom.session import drop_stored, store
 
 #: A link and the date stated for it.
 Entry = tuple[str, "str | None"]
@@ -160,18 +161,40 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("url", "method", "content").mapInPandas(run, SCHEMA)
 
 
-def traverse(start: DataFrame, pages: DataFrame, depth: int = 5) -> DataFrame:
-    """Article links of sitemaps reached from start (url) through sitemap indexes among pages.
+def traverse(start: DataFrame, pages: DataFrame, patterns: list[str] | None = None, since: str | None = None, until: str | None = None, include: list[str] | None = None, exclude: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Article links (href, stamp, discovery_url) of sitemaps reached from start (url) through indexes among pages.
 
-    One frontier a level; a sitemap is read once however often it is named.
+    Level by level to any depth, until no sitemap is new; each is read once however often (or in
+    a circle) it is named. Nested sitemaps must match a pattern, if there are any, and their URL's
+    month may not lie outside [since, until] (yyyy-MM-dd); links must be allowed() and their date,
+    where known, inside. Order is that of a queue: start by URL, nested ones newest month first,
+    links as they stand; a link found twice counts once, at its first place. limit: the first so
+    many. Start URLs without a page give nothing. Each level is a table of the shared folder.
     """
-    parsed = links(pages.where("method = 'sitemap'")).cache()
-    seen = frontier = start.select("url").distinct()
-    for _ in range(depth):
-        found = parsed.where("nested").join(frontier.withColumnRenamed("url", "page_url"), "page_url", "left_semi").select(F.col("href").alias("url")).distinct().join(seen, "url", "left_anti")
-        seen = seen.union(found)
-        frontier = found
-    return parsed.where("not nested").join(seen.withColumnRenamed("url", "page_url"), "page_url", "left_semi").select("href", "stamp").distinct()
+    spark = pages.sparkSession
+    parsed, p_parsed = store(links(pages.where("method = 'sitemap'")), "sitemaps")
+    month = F.coalesce(urls.year_month(F.col("href")), F.lit(""))
+    open_ = F.col("nested") & urls.allowed(F.col("href"), patterns or [], []) & urls.may_overlap(F.col("href"), since, until)
+    order = Window.partitionBy("page_url").orderBy(month.desc(), F.desc("href"))
+    nested = parsed.where(open_).select("page_url", "href").distinct().withColumn("turn", F.row_number().over(order))
+    roots = start.select("url").distinct()
+    frontier, path = store(roots.select("url", F.array(F.row_number().over(Window.orderBy("url"))).alias("place")), "frontier")
+    seen, paths = frontier, [path]
+    while frontier.limit(1).count():
+        reached = nested.join(frontier.select(F.col("url").alias("page_url"), "place"), "page_url")
+        first = reached.groupBy(F.col("href").alias("url")).agg(F.min(F.concat("place", F.array("turn"))).alias("place"))
+        frontier, path = store(first.join(seen, "url", "left_anti"), "frontier")
+        seen, paths = seen.unionByName(frontier), [*paths, path]
+    moment = stamps(F.col("stamp"))
+    closed = None if until is None else F.to_timestamp_ntz(F.lit(until)) + F.expr("interval 1 day") - F.expr("interval 1 microsecond")
+    fits = dates.in_window(moment, None if since is None else F.to_timestamp_ntz(F.lit(since)), closed)
+    found = parsed.where(~F.col("nested") & fits & urls.allowed(F.col("href"), include or [], exclude or [])).join(seen.withColumnRenamed("url", "page_url"), "page_url")
+    where = F.struct(F.size("place"), "place", "position")
+    one = found.groupBy("href").agg(F.min_by(F.struct("stamp", "page_url", where.alias("at")), where).alias("x"))
+    out = one.select("href", "x.stamp", F.col("x.page_url").alias("discovery_url"), "x.at").orderBy("at")
+    result, _ = store((out if limit is None else out.limit(limit)).drop("at"), "links")
+    drop_stored(spark, p_parsed, *paths)
+    return result
 
 
 METHOD_RANK = {"feed": 0, "sitemap": 1, "section": 2, "json": 3}

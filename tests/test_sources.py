@@ -40,6 +40,25 @@ def test_traversal_and_discovery(spark):
     assert feeds.fetched(fetched).count() == 2
 
 
+def test_traversal_is_deep_pruned_ordered_and_limited(spark):
+    index = lambda *names: ("<sitemapindex>" + "".join(f"<sitemap><loc>https://n.ua/{n}</loc></sitemap>" for n in names) + "</sitemapindex>").encode()
+    urlset = lambda *rows: ("<urlset>" + "".join(f"<url><loc>https://n.ua/{n}</loc>" + (f"<lastmod>{d}</lastmod>" if d else "") + "</url>" for n, d in rows) + "</urlset>").encode()
+    chain = [(f"https://n.ua/{k}", "sitemap", index(f"{k + 1}", "0")) for k in range(9)]  # a circle back to the first, nine levels down
+    pages = [*chain, ("https://n.ua/9", "sitemap", index("map-2024-01.xml", "map-2024-03.xml", "map-2023-12.xml", "tags.xml")),
+             ("https://n.ua/map-2024-01.xml", "sitemap", urlset(("a", "2024-01-05"), ("b", None))), ("https://n.ua/map-2024-03.xml", "sitemap", urlset(("c", "2024-03-01"), ("a", "2024-03-02"))),
+             ("https://n.ua/map-2023-12.xml", "sitemap", urlset(("d", "2023-12-31"),)), ("https://n.ua/tags.xml", "sitemap", urlset(("tag/e", None)))]
+    table = spark.createDataFrame(pages, "url string, method string, content binary")
+    start = spark.createDataFrame([("https://n.ua/0",), ("https://n.ua/0",), ("https://n.ua/gone",)], "url string")
+    go = lambda **k: [r.href[13:] for r in feeds.traverse(start, table, **k).collect()]
+    assert set(go()) == {"a", "b", "c", "d", "tag/e"}
+    assert feeds.traverse(start, table).where("href like '%/a'").first().discovery_url.endswith("03.xml")
+    assert set(go(patterns=["/[0-9]$", "map-"])) == {"a", "b", "c", "d"}
+    assert set(go(since="2024-01-01", until="2024-02-28")) == {"a", "b", "tag/e"}
+    assert set(go(exclude=["/tag/"], since="2024-02-01")) == {"a", "c"}
+    assert set(go(limit=2)) == {"c", "a"} and go(limit=0) == []
+    assert feeds.traverse(start.limit(0), table).count() == 0
+
+
 ARTICLE = """<html lang="uk-UA"><head><title>Head</title><meta property="og:title" content=" A  title "><link href="/texte/stueck/?utm_source=x" rel="canonical">
 <script type=application/ld+json>{"@graph": [{"author": {"datePublished": "2020-01-01"}}, {"datePublished": "2026-07-03"}]}</script>
 <link rel="icon" href="/i.svg" type="image/svg+xml"><link href="t.png" rel="apple-touch-icon"></head><body><article><h1>H</h1><p>One &amp; two.</p><p> </p><p>Three<script>var x;</script>.</p></article><time datetime="2019-01-01"></time></body></html>"""
