@@ -13,6 +13,8 @@ from newsloom.session import ship
 
 #: Queries whose vectors go to every task at once; more queries take several passes.
 QUERY_BYTES = 64_000_000
+#: Scores that a task holds at once: its vectors meet so many queries at a time.
+BLOCK_BYTES = 16_000_000
 
 
 def normalized(vector: Column) -> Column:
@@ -39,53 +41,90 @@ def delete(old: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, limit: int, threshold: float | None = None, dim: int | None = None) -> DataFrame:
     """(query_id, id, score, place): for each query (query_id, vector) the `limit` nearest of vectors (id, vector).
 
-    Exact: each task multiplies its vectors with all queries and keeps its own best `limit`
-    a query, so what is shuffled is limit rows a query and task. Vectors of another
-    dimension, null and zero vectors are left out; ties go to the smaller id.
+    Exact: each task multiplies its vectors with all queries, block by block, and keeps its own
+    best `limit` a query, so what is shuffled is limit rows a query and task, and what a task
+    holds beyond that doesn't grow with either table. Vectors of another dimension, null, zero
+    and infinite vectors are left out; ties go to the smaller id.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = [(r["query_id"], r["vector"]) for r in queries.select("query_id", "vector").where("vector is not null").collect()] if dim is None else [(r["query_id"], r["vector"]) for r in queries.where(F.size("vector") == dim).select("query_id", "vector").collect()]
-    if not rows:
+    if dim is None:
+        first = queries.where("vector is not null").select(F.size("vector").alias("n")).first()
+        dim = first["n"] if first else 0
+    asked = queries.where(F.size("vector") == dim) if dim else queries.limit(0)
+    table = asked.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).toArrow().combine_chunks()
+    if not table.num_rows:
         return spark.createDataFrame([], "query_id long, id long, score double, place int")
-    dim = dim or len(rows[0][1])
+    ids = table.column("query_id").to_numpy()
+    matrix = _matrix(table.column("vector").combine_chunks(), dim)
     step = max(1, QUERY_BYTES // (8 * dim))
+    usable = vectors.where(F.size("vector") == dim).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     out = None
-    for lo in range(0, len(rows), step):
-        part = rows[lo : lo + step]
-        ids = np.array([q for q, _ in part], np.int64)
-        matrix = np.array([v for _, v in part], np.float64)
-        norm = np.linalg.norm(matrix, axis=1)
-        shared = spark.sparkContext.broadcast((ids[norm > 0], matrix[norm > 0] / norm[norm > 0][:, None]))
-        best = vectors.where(F.size("vector") == dim).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_best(shared, dim, limit, threshold), "query_id long, id long, score double")
+    for lo in range(0, len(ids), step):
+        part = matrix[lo : lo + step]
+        norm = np.linalg.norm(part, axis=1)
+        good = (norm > 0) & np.isfinite(norm)
+        shared = spark.sparkContext.broadcast((ids[lo : lo + step][good], part[good] / norm[good][:, None]))
+        best = usable.mapInArrow(_best(shared, dim, limit, threshold), "query_id long, id long, score double")
         out = best if out is None else out.union(best)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
 def _best(shared, dim: int, limit: int, threshold: float | None):
+    floor = -np.inf if threshold is None else threshold
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
-        held_id, held = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        held_id, held = np.zeros((len(ids), limit), np.int64), np.full((len(ids), limit), -np.inf)
         for batch in batches:
             if not batch.num_rows:
                 continue
             own = batch.column("id").to_numpy(zero_copy_only=False)
-            matrix = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            matrix = _matrix(batch.column("vector"), dim)
             norm = np.linalg.norm(matrix, axis=1)
-            good = norm > 0
-            score = np.round(queries @ (matrix[good] / norm[good][:, None]).T, 6)
-            all_id = np.concatenate([held_id, np.broadcast_to(own[good], score.shape)], axis=1)
-            all_score = np.concatenate([held, score], axis=1)
-            order = np.lexsort((all_id, -all_score), axis=1)[:, :limit]
-            held_id, held = np.take_along_axis(all_id, order, 1), np.take_along_axis(all_score, order, 1)
-        keep = held >= threshold if threshold is not None else np.ones(held.shape, bool)
-        query = np.broadcast_to(ids[:, None], held.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(query[keep]), pa.array(held_id[keep]), pa.array(held[keep])], ["query_id", "id", "score"])
+            good = (norm > 0) & np.isfinite(norm)
+            own, unit = own[good], (matrix[good] / norm[good][:, None]).T
+            step = max(1, BLOCK_BYTES // (8 * max(1, len(own))))
+            for lo in range(0, len(ids) if len(own) else 0, step):
+                _keep(held_id[lo : lo + step], held[lo : lo + step], own, queries[lo : lo + step] @ unit, floor)
+        step = max(1, BLOCK_BYTES // (24 * limit))
+        for lo in range(0, len(ids), step):
+            keep = held[lo : lo + step] > -np.inf
+            query = np.broadcast_to(ids[lo : lo + step, None], keep.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(query[keep]), pa.array(held_id[lo : lo + step][keep]), pa.array(held[lo : lo + step][keep])], ["query_id", "id", "score"])
 
     return run
 
 
+def _keep(held_id: np.ndarray, held: np.ndarray, own: np.ndarray, score: np.ndarray, floor: float) -> None:
+    """Put the scores (a row a query, a column a vector) that are among the best into held, in place.
+
+    Scores count rounded to six digits; only those that may get in after rounding are rounded and sorted.
+    """
+    limit = held.shape[1]
+    least = held[:, -1].copy()
+    open_ = np.flatnonzero(least == -np.inf)
+    if len(open_) and score.shape[1] > limit:
+        least[open_] = np.partition(score[open_], -limit, axis=1)[:, -limit]
+    row, col = np.nonzero(score >= np.maximum(least, floor)[:, None] - 1e-6)
+    value = np.round(score[row, col], 6)
+    row, col, value = row[value >= floor], col[value >= floor], value[value >= floor]
+    touched = np.unique(row)
+    old = held[touched] > -np.inf
+    rows = np.concatenate([row, np.broadcast_to(touched[:, None], old.shape)[old]])
+    found, values = np.concatenate([own[col], held_id[touched][old]]), np.concatenate([value, held[touched][old]])
+    order = np.lexsort((found, -values, rows))
+    rows, found, values = rows[order], found[order], values[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    top = place < limit
+    held_id[rows[top], place[top]], held[rows[top], place[top]] = found[top], values[top]
+
+
 def hydrate(found: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
     """found with the rows of table it names, in its order; ids without a row are dropped."""
     return found.join(table, key)
