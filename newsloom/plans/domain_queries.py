@@ -10,7 +10,7 @@ from newsloom.functions import dates, texts, urls
 from newsloom.operators import constraints, decisions, knn, relevance
 from newsloom.plans.bindings import Tables, sql
 from newsloom.plans.registry import register
-from newsloom.session import scratch_dir
+from newsloom.session import drop_stored, scratch_dir
 from newsloom.sources import catalogue, feeds, html
 from newsloom.streaming import views
 
@@ -364,8 +364,11 @@ def demo_feed(spark, sf_dir):
 def _stream(spark, sf_dir, transform, mode: str = "complete"):
     """The stream over the events table, run to its end."""
     events = Tables(spark, sf_dir).raw("events")
-    stream = views.read_stream(spark, f"{sf_dir}/events.parquet*", events.schema)
-    return views.drain(transform(stream), f"s{uuid.uuid4().hex}", mode, f"{scratch_dir(spark)}/newsloom/stream-{uuid.uuid4().hex}")
+    stream = views.read_stream(spark, f"{sf_dir}/events.parquet*", events.schema, None)
+    checkpoint = f"{scratch_dir(spark)}/newsloom/stream-{uuid.uuid4().hex}"
+    result = views.drain(transform(stream), f"s{uuid.uuid4().hex}", mode, checkpoint)
+    drop_stored(spark, checkpoint)
+    return result
 
 
 @register("stream_views_daily", sql("views", "SELECT * FROM views"))

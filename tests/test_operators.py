@@ -175,3 +175,25 @@ def test_small_repairs(spark):
     assert [r.fresh for r in views.fresh(beats, F.lit("2024-01-01 00:01:00").cast("timestamp"), 120).orderBy("worker").collect()] == [True, False, False, False]
     assert [r.x for r in spark.range(1).select(decisions.audit_status(F.lit(False), F.lit(True)).alias("x")).collect()] == ["accepted_on_retry"]
     assert spark.range(1).select(decisions.status(F.array(F.lit("a")), "duplicate").alias("x")).first().x == "inconclusive"
+
+
+@pytest.mark.parametrize("query", ["stream_sessions", "stream_views_daily"])
+def test_stream_results_stay_off_the_driver(spark, tmp_path, query):
+    """The result is a table of files, not rows in the driver; events in a file that comes late count like others."""
+    import duckdb
+
+    from newsloom.plans.registry import ORACLES, QUERIES
+
+    folder = tmp_path / "events.parquet"
+    for k, day in enumerate((20, 1, 10)):
+        rows = [(k * 10 + n, f"2024-01-{day:02d} 00:{20 * n:02d}:00", n % 2, "view") for n in range(3)]
+        events = spark.createDataFrame(rows, "event_id long, t string, user_id long, event_type string").select("event_id", F.col("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type")
+        events.coalesce(1).write.mode("append").parquet(str(folder))
+    before = {t.name for t in spark.catalog.listTables()}
+    got = QUERIES[query](spark, str(tmp_path))
+    assert {t.name for t in spark.catalog.listTables()} == before and got.inputFiles()
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/*.parquet'")
+    want = duck.sql(ORACLES[query])
+    assert sorted(tuple(r) for r in got.select(want.columns).collect()) == sorted(want.fetchall())
+    assert sorted(want.fetchall())[0][1] is not None and got.count() > 3
