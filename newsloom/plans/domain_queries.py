@@ -76,9 +76,7 @@ def html_language(spark, sf_dir):
 @register("html_title_matches", "SELECT page_id, true AS same FROM pages")
 def html_title_matches(spark, sf_dir):
     """The h1 that extraction takes and the head title agree once entities are resolved (the pages repeat it)."""
-    pages = Tables(spark, sf_dir).raw("pages")
-    raw = F.replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("&amp;"), F.lit("&"))
-    return html.extract_pages(pages).join(pages.select("page_id", F.substring(raw, 1, 20).alias("head")), "page_id").select("page_id", F.startswith(F.col("title"), F.rtrim("head")).alias("same"))
+    return Tables(spark, sf_dir).raw("pages").select("page_id", F.udf(html.titles_agree, "boolean", useArrow=False)("html").alias("same"))
 
 
 @register("html_extract")

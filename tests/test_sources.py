@@ -80,3 +80,14 @@ def test_icons_and_catalogue(spark):
     assert catalogue.catalogue(spark).count() == 33
     sizes = {k: v.count() for k, v in catalogue.demo(spark).items()}
     assert (sizes["articles"], sizes["cases"], sizes["events"], sizes["entities"], sizes["sources"]) == (496, 164, 237, 88, 12)
+
+
+def test_titles_agree_whatever_the_entities(spark, tmp_path):
+    from newsloom.plans.registry import QUERIES
+
+    page = "<html><head><title>{0}</title></head><body><article><h1>{0}</h1><p>x</p></article></body></html>".format
+    titles = ["token = &quot;2abc3ff2ca8fb1e4c565&quot;", "Fish &amp; chips&#39; &eacute;t&eacute;", "two  spaces\nand a break in it", "&lt;b&gt; is a tag", ""]
+    rows = [(k, "https://n.ua/", page(t)) for k, t in enumerate(titles)] + [(0, "https://n.ua/", page("again")), (9, "https://n.ua/", page("other").replace("<h1>other", "<h1>one"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["html_title_matches"](spark, str(tmp_path)).collect())
+    assert got == [(0, True), (0, True), (1, True), (2, True), (3, True), (4, True), (9, False)]
