@@ -91,3 +91,18 @@ def test_titles_agree_whatever_the_entities(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = sorted(tuple(r) for r in QUERIES["html_title_matches"](spark, str(tmp_path)).collect())
     assert got == [(0, True), (0, True), (1, True), (2, True), (3, True), (4, True), (9, False)]
+
+
+def _reaches_worker(frame):
+    """The physical operator that hands rows to Python: Arrow ones hand over 10,000 at a time."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [name for name in ("MapInPandas", "MapInArrow", "ArrowEvalPython", "BatchEvalPython") if name in plan]
+
+
+def test_links_hold_few_bodies(spark):
+    body = b"<urlset><url><loc>https://n.ua/%d</loc><lastmod>2024-01-02</lastmod></url><url><loc>https://n.ua/x</loc></url></urlset>"
+    pages = spark.createDataFrame([(f"https://n.ua/{k}.xml", "sitemap", body % k) for k in range(250)] + [("https://n.ua/bad", "sitemap", b"<"), ("https://n.ua/none", "json", None)], "url string, method string, content binary")
+    found = feeds.links(pages)
+    assert _reaches_worker(found) == ["BatchEvalPython"]
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == sorted(row for k in range(250) for row in ((f"https://n.ua/{k}.xml", "sitemap", 0, f"https://n.ua/{k}", "2024-01-02", False), (f"https://n.ua/{k}.xml", "sitemap", 1, "https://n.ua/x", None, False)))
