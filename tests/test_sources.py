@@ -106,3 +106,11 @@ def test_links_hold_few_bodies(spark):
     assert _reaches_worker(found) == ["BatchEvalPython"]
     got = sorted(tuple(r) for r in found.collect())
     assert got == sorted(row for k in range(250) for row in ((f"https://n.ua/{k}.xml", "sitemap", 0, f"https://n.ua/{k}", "2024-01-02", False), (f"https://n.ua/{k}.xml", "sitemap", 1, "https://n.ua/x", None, False)))
+
+
+def test_pages_are_extracted_once_and_few_at_a_time(spark):
+    html_pages = spark.createDataFrame([(k, None, f"<html lang='uk'><h1>Title {k}</h1></html>") for k in range(250)] + [(250, None, None)], "page_id int, url string, html string")
+    found = html.extract_pages(html_pages)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert _reaches_worker(found) == ["BatchEvalPython"] and plan.count("BatchEvalPython") == 1 and dict(found.dtypes)["page_id"] == "bigint"
+    assert sorted((r.page_id, r.title, r.language) for r in found.collect()) == [(k, f"Title {k}", "uk") for k in range(250)] + [(250, None, None)]
