@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators.feed import order_by, public_cases
+from newsloom.session import ship
 
 
 def latest_events(events: DataFrame, case_events: DataFrame, public: DataFrame, limit: int = 50) -> DataFrame:
@@ -17,8 +23,6 @@ def latest_events(events: DataFrame, case_events: DataFrame, public: DataFrame,
 
 def timeline(events: DataFrame, case_events: DataFrame) -> DataFrame:
     """Events of each case with their place in it: dated ones first, in order of time."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("case_id").orderBy(F.col("year").isNull(), *order_by((("year", "asc"), ("month", "asc"), ("day", "asc"), ("id", "asc"))))
     return case_events.join(events, case_events.event_id == events.id).select("case_id", "id", "year", "month", "day", "precision").withColumn("place", F.row_number().over(order))
 
@@ -97,13 +101,52 @@ def other_cases(cases: DataFrame, case_articles: DataFrame, case_events: DataFra
 
 
 def duplicate_candidates(links: DataFrame, least_tenths: int = 3) -> DataFrame:
-    """Unordered pairs of cases that share at least 30 % of the smaller one's items (integer arithmetic)."""
-    clean = links.distinct()
-    sizes = clean.groupBy("case_id").agg(F.count("*").alias("n"))
-    a, b = clean.select(F.col("case_id").alias("case_a"), "item"), clean.select(F.col("case_id").alias("case_b"), "item")
-    shared = a.join(b, "item").where("case_a < case_b").groupBy("case_a", "case_b").agg(F.count("*").alias("shared"))
-    both = shared.join(sizes.toDF("case_a", "n_a"), "case_a").join(sizes.toDF("case_b", "n_b"), "case_b")
-    return both.where(F.col("shared") * 10 >= F.least("n_a", "n_b") * least_tenths).select("case_a", "case_b", "shared", "n_a", "n_b")
+    """Unordered pairs of cases that share at least 30 % of the smaller one's items (integer arithmetic).
+
+    Each case is sent, for each of its items, the larger cases that have the item (of equal ones
+    those with the greater id): eight bytes a pair and item. It counts them by itself, so no table
+    of pairs is shuffled, and only pairs that reach the share leave it.
+    """
+    ship(links.sparkSession)
+    clean = links.repartition("case_id").distinct()
+    sized = clean.withColumn("n", F.count("*").over(Window.partitionBy("case_id"))).where("item is not null and case_id is not null")
+    members = sized.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("n", "case_id"))).alias("members"))
+    larger = members.where(F.size("members") > 1).select("members", F.transform("members", lambda m: m["case_id"]).alias("ids"))
+    sent = larger.select("ids", F.posexplode("members").alias("place", "m")).where(F.col("place") < F.size("ids") - 1)
+    held = sent.select("m.case_id", "m.n", F.expr("slice(ids, place + 2, size(ids))").alias("others")).repartition("case_id").sortWithinPartitions("case_id")
+    kind = links.schema["case_id"].dataType.simpleString()
+    shared = held.mapInArrow(_count_others(least_tenths), f"case_a {kind}, case_b {kind}, shared long, n_a long")
+    n_b = clean.groupBy(F.col("case_id").alias("case_b")).agg(F.count("*").alias("n_b"))
+    found = shared.join(n_b, "case_b")
+    turned = F.col("case_a") > F.col("case_b")
+    swap = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    return found.select(swap("case_a", "case_b").alias("case_a"), swap("case_b", "case_a").alias("case_b"), "shared", swap("n_a", "n_b").alias("n_a"), swap("n_b", "n_a").alias("n_b"))
+
+
+def _count_others(least_tenths: int):
+    """Rows (case_id, n, others), sorted by case -> the cases that occur among a case's others often enough."""
+
+    def found(case, n: int, parts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        counted = pa.chunked_array(parts).value_counts()
+        kept = counted.filter(pc.greater_equal(pc.multiply(counted.field("counts"), 10), n * least_tenths))
+        if len(kept):
+            yield pa.RecordBatch.from_arrays([pa.repeat(case, len(kept)), kept.field("values"), kept.field("counts"), pa.array(np.full(len(kept), n))], ["case_a", "case_b", "shared", "n_a"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        case, n, parts = None, 0, []
+        for batch in batches:
+            ids, sizes, others = batch.column("case_id"), batch.column("n"), batch.column("others")
+            ends = np.flatnonzero(pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)) + 1
+            for lo, hi in zip(np.r_[0, ends], np.r_[ends, batch.num_rows], strict=True) if batch.num_rows else ():
+                if parts and ids[int(lo)] != case:
+                    yield from found(case, n, parts)
+                    parts = []
+                case, n = ids[int(lo)], sizes[int(lo)].as_py()
+                parts.append(others.slice(int(lo), int(hi - lo)).flatten())
+        if parts:
+            yield from found(case, n, parts)
+
+    return run
 
 
 def case_page(tables, slug: str) -> DataFrame:

@@ -197,3 +197,21 @@ def test_stream_results_stay_off_the_driver(spark, tmp_path, query):
     want = duck.sql(ORACLES[query])
     assert sorted(tuple(r) for r in got.select(want.columns).collect()) == sorted(want.fetchall())
     assert sorted(want.fetchall())[0][1] is not None and got.count() > 3
+
+
+def test_duplicate_candidates_shuffles_no_pairs(spark):
+    """Against brute force, with repeated links, null items and cases of equal size; no table of pairs goes through a join or an aggregation."""
+    from itertools import combinations
+
+    from newsloom.operators import dossier
+
+    rng = np.random.default_rng(3)
+    held = {c: set(rng.integers(0, 40, rng.integers(1, 25)).tolist()) | ({None} if c % 5 == 0 else set()) for c in range(60)}
+    rows = [(c, i) for c, items in held.items() for i in items for _ in range(1 + c % 2)] + [(None, 3)]
+    found = dossier.duplicate_candidates(spark.createDataFrame(rows, "case_id int, item long"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
+    want = {(a, b, len((held[a] & held[b]) - {None}), len(held[a]), len(held[b])) for a, b in combinations(held, 2)}
+    got = found.collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {w for w in want if w[2] and w[2] * 10 >= min(w[3:]) * 3}
+    assert dict(found.dtypes)["case_a"] == "int"
