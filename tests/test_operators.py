@@ -7,6 +7,7 @@ import shutil
 import subprocess
 import sys
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +135,33 @@ def test_relevance_learns(spark):
     assert [r.is_relevant for r in out] == [True, False, False, False] and [r.reason for r in out] == [None, None, "empty_text", "empty_text"]
 
 
+def test_relevance_reads_texts_once_and_knows_the_most_frequent_terms(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [("" if k % 50 == 9 else " - ".join(f"w{x % 90}" for x in rng.zipf(1.4, int(rng.integers(1, 30)))), k % 2) for k in range(200)] + [("- !", 1)]
+    n, texts = Counter(), Counter()
+    for text, _ in rows:
+        words = [w for w in text.split(" - ") if len(w) > 1]
+        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        n.update(terms)
+        texts.update(set(terms))
+    read = spark.sparkContext.accumulator(0)
+    rdd = spark.sparkContext.parallelize(rows, 3).map(lambda r: (read.add(1), r)[1])
+    for size, most in ((60, 1_000_000), (60, 3), (10_000, 1_000_000)):
+        monkeypatch.setattr(relevance, "MOST_WORDS", most)
+        before = read.value
+        model = relevance.fit(spark.createDataFrame(rdd, "text string, label int"), vocabulary=size, max_df=0.5)
+        assert read.value - before == len(rows)
+        usable = sum(text != "" for text, _ in rows)
+        known = [t for t in sorted(n, key=lambda t: (-n[t], t)) if 2 <= texts[t] <= usable / 2][:size]
+        assert list(model.stages[3].vocabulary) == known  # ties: what sorts first
+        want = [np.log((usable + 1) / (texts[t] + 1)) for t in known]
+        assert np.allclose(model.stages[4].idf.toArray(), want)
+    counted = model.transform(spark.createDataFrame(rows, "text string, label int").where("text <> ''")).select("counts", "words").collect()
+    spaced = spark.createDataFrame([(0.0, " ".join(r.words)) for r in counted], "label double, words string").coalesce(1)
+    fields = spaced.mapInArrow(relevance._count_known(known), "label double, counts struct<type:tinyint,size:int,indices:array<int>,values:array<double>>").collect()
+    assert [(f.counts.indices, f.counts["values"]) for f in fields] == [(r.counts.indices.tolist(), r.counts.values.tolist()) for r in counted]
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_streams(spark, tmp_path, parts):
     rows = [(k, f"2024-01-01 00:{k:02d}:00", k % 4, "view") for k in range(60)]
