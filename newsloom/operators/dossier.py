@@ -54,8 +54,10 @@ def redirect(cases: DataFrame) -> DataFrame:
 def visible_entities(entities: DataFrame, case_entities: DataFrame, article_entities: DataFrame, public: DataFrame) -> DataFrame:
     """Entities with a description, a public case and an article."""
     described = entities.where(F.col("description").isNotNull() & (F.col("description") != ""))
-    shown = case_entities.join(public.select(F.col("id").alias("case_id")), "case_id", "left_semi")
-    return described.join(shown, described.id == shown.entity_id, "left_semi").join(article_entities, described.id == article_entities.entity_id, "left_semi")
+    # distinct ids of one column each: so earlier distincts of pairs drop out of the plan
+    shown = case_entities.join(public.select(F.col("id").alias("case_id")).distinct(), "case_id", "left_semi").select("entity_id").distinct()
+    mentioned = article_entities.select("entity_id").distinct()
+    return described.join(shown, described.id == shown.entity_id, "left_semi").join(mentioned, described.id == mentioned.entity_id, "left_semi")
 
 
 def entity_articles(articles: DataFrame, sources: DataFrame, article_entity_cases: DataFrame, public: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import subprocess
 import sys
@@ -243,3 +244,24 @@ def test_duplicate_candidates_shuffles_no_pairs(spark):
     got = found.collect()
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == {w for w in want if w[2] and w[2] * 10 >= min(w[3:]) * 3}
     assert dict(found.dtypes)["case_a"] == "int"
+
+
+def test_sitemap_makes_pairs_distinct_for_the_dates_only(spark, sf_dir):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["sitemap_entries"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [o_orderkey") == 1  # dates of articles, for the cases' own rows only
+    pairs = [line for line in plan.splitlines() if re.search(r"Aggregate \[\w+#\w+, \w+#\w+\]", line)]
+    assert len(pairs) == 1  # the links that these dates are joined to; it was five
+
+
+def test_visible_entities_and_public_cases_of_repeated_links(spark):
+    from newsloom.operators import dossier, feed
+
+    cases = spark.createDataFrame([(1, "active", "x"), (2, "active", " "), (3, "hidden", "x"), (4, "active", "x"), (None, "active", "x")], "id long, status string, summary string")
+    links = spark.createDataFrame([(1, 7, 70), (1, 7, 70), (1, 8, None), (2, 7, 71), (3, 7, 72), (None, 9, 73)], "case_id long, article_id long, entity_id long")
+    public = feed.public_cases(cases, links)
+    assert [tuple(r) for r in public.collect()] == [(1, "active", "x")]
+    entities = spark.createDataFrame([(70, "d"), (70, "d"), (71, "d"), (72, "d"), (73, "d"), (70, ""), (70, None), (None, "d")], "id long, description string")
+    shown = dossier.visible_entities(entities, links.select("case_id", "entity_id"), links.select("article_id", "entity_id"), public)
+    assert shown.columns == ["id", "description"] and [tuple(r) for r in shown.collect()] == [(70, "d"), (70, "d")]
